@@ -8,6 +8,7 @@ the last unchanged prefix on.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from array import array
 
@@ -231,14 +232,15 @@ class BytePairCodec:
         if len(raw) > MOST_VOCABULARY_BYTES:
             raise ValueError("the vocabulary is too large to be sent to every executor")
         self.sent, self.pattern = spark.sparkContext.broadcast(raw), pattern
+        self.key = hashlib.sha256(raw).hexdigest()
 
     def encode(self, text: Column) -> Column:
         """array<int> of token ids; a null text is encoded like an empty one, as no ids."""
-        sent, pattern = self.sent, self.pattern
+        sent, key, pattern = self.sent, self.key, self.pattern
 
         @F.arrow_udf("array<int>")
         def ids(texts: pa.Array) -> pa.Array:
-            coder = _once("encode", (sent.id, pattern), lambda: TextEncoder(sent.value, pattern))
+            coder = _once("encode", (key, pattern), lambda: TextEncoder(sent.value, pattern))
             kept, offsets = [], [0]
             for some in in_chunks(texts, CHUNK_CHARS):
                 for row in coder.encode_many(some):
@@ -251,11 +253,11 @@ class BytePairCodec:
 
     def decode(self, ids: Column) -> Column:
         """binary; ids null: no bytes. An id outside the vocabulary fails."""
-        sent = self.sent
+        sent, key = self.sent, self.key
 
         @F.arrow_udf("binary")
         def decoded(rows: pa.Array) -> pa.Array:
-            table = _once("decode", sent.id, lambda: {rank: token for token, rank in read_ranks(sent.value).items()})
+            table = _once("decode", key, lambda: {rank: token for token, rank in read_ranks(sent.value).items()})
             return pa.array([b"".join(map(table.__getitem__, row.values.tolist())) if row.is_valid else b"" for row in rows], pa.binary())
 
         return decoded(ids)

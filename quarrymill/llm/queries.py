@@ -1,6 +1,7 @@
 """The subpackage's queries and, where SQL can say the same, their SQL."""
 
 from .bpe import op3_bpe
+from .chat import OP6_SQL, op6_chat_format
 
-QUERIES = {"op3_bpe": op3_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op3_bpe": op3_bpe, "op6_chat_format": op6_chat_format}
+ORACLE_SQL = {"op6_chat_format": OP6_SQL}
