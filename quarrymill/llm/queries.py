@@ -2,6 +2,13 @@
 
 from .bpe import op3_bpe
 from .chat import OP6_SQL, op6_chat_format
+from .mixing import op8_mixing
+from .sharding import OP2_SQL, op2_sharding
 
-QUERIES = {"op3_bpe": op3_bpe, "op6_chat_format": op6_chat_format}
-ORACLE_SQL = {"op6_chat_format": OP6_SQL}
+QUERIES = {
+    "op2_sharding": op2_sharding,
+    "op3_bpe": op3_bpe,
+    "op6_chat_format": op6_chat_format,
+    "op8_mixing": op8_mixing,
+}
+ORACLE_SQL = {"op2_sharding": OP2_SQL, "op6_chat_format": OP6_SQL}
