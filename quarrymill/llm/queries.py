@@ -3,6 +3,7 @@
 from .bpe import op3_bpe
 from .chat import OP6_SQL, op6_chat_format
 from .mixing import op8_mixing
+from .quality import op9_quality
 from .sharding import OP2_SQL, op2_sharding
 
 QUERIES = {
@@ -10,5 +11,6 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op6_chat_format": op6_chat_format,
     "op8_mixing": op8_mixing,
+    "op9_quality": op9_quality,
 }
 ORACLE_SQL = {"op2_sharding": OP2_SQL, "op6_chat_format": OP6_SQL}
