@@ -5,11 +5,13 @@ from .chat import OP6_SQL, op6_chat_format
 from .mixing import op8_mixing
 from .quality import op9_quality
 from .sharding import OP2_SQL, op2_sharding
+from .simhash import op5_simhash
 from .toxicity import op7_toxicity
 
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
+    "op5_simhash": op5_simhash,
     "op6_chat_format": op6_chat_format,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
