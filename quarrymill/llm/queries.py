@@ -2,6 +2,7 @@
 
 from .bpe import op3_bpe
 from .chat import OP6_SQL, op6_chat_format
+from .cover_tree import OP1_SQL, op1_cover_tree
 from .mixing import op8_mixing
 from .quality import op9_quality
 from .sharding import OP2_SQL, op2_sharding
@@ -9,6 +10,7 @@ from .simhash import op5_simhash
 from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_cover_tree": op1_cover_tree,
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op5_simhash": op5_simhash,
@@ -17,4 +19,4 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
 }
-ORACLE_SQL = {"op2_sharding": OP2_SQL, "op6_chat_format": OP6_SQL}
+ORACLE_SQL = {"op1_cover_tree": OP1_SQL, "op2_sharding": OP2_SQL, "op6_chat_format": OP6_SQL}

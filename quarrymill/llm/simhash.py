@@ -173,7 +173,7 @@ def _compare(batches):
             rest_c, rest_f = rest_c[:0], rest_f[:0]
 
 
-def _compare_blocks(key, table: pa.Table) -> pa.Table:
+def _compare_blocks(key, table):
     fp, side = table["u"].to_numpy().view(np.uint64), table["block"].to_numpy()
     u, v = _unique(*_forest(fp[np.argsort(side, kind="stable")]))
     return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
