@@ -7,16 +7,18 @@ from .mixing import op8_mixing
 from .quality import op9_quality
 from .sharding import OP2_SQL, op2_sharding
 from .simhash import op5_simhash
+from .topk import OP4_SQL, op4_topk
 from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_cover_tree": op1_cover_tree,
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
+    "op4_topk": op4_topk,
     "op5_simhash": op5_simhash,
     "op6_chat_format": op6_chat_format,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
 }
-ORACLE_SQL = {"op1_cover_tree": OP1_SQL, "op2_sharding": OP2_SQL, "op6_chat_format": OP6_SQL}
+ORACLE_SQL = {"op1_cover_tree": OP1_SQL, "op2_sharding": OP2_SQL, "op4_topk": OP4_SQL, "op6_chat_format": OP6_SQL}
