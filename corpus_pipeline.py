@@ -1,12 +1,50 @@
-"""From raw documents to token counts, stage by stage; each stage's table is written and read again by the next."""
+"""From raw documents to token counts, stage by stage; each stage's table is written and read again by the next.
+
+No SQL: learnt scores, fingerprints and byte-pair merges have none, so the pipeline is tested stage by stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrymill.llm import bpe, mixing, simhash, suffix, toxicity
 from quarrymill.llm.scratch import Scratch
 
-STAGES: list = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model of this corpus rejects are left out."""
+    return toxicity.without_toxic(docs, toxicity.model_for(spark, sf_dir))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.keep_one(docs, Scratch(spark, "simhash"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out of texts."""
+    return suffix.without_repeats(docs, Scratch(spark, "suffix"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs, Scratch(spark, "mixing"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document that is left."""
+    codec = bpe.BytePairCodec(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(docs.select("doc_id", "text"), codec)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-copies", drop_near_copies),
+    ("repeats", cut_repeats),
+    ("mix", mix_sources),
+    ("tokens", tokenize),
+]
 ORACLE_SQL = None
 
 

@@ -7,6 +7,7 @@ from .mixing import op8_mixing
 from .quality import op9_quality
 from .sharding import OP2_SQL, op2_sharding
 from .simhash import op5_simhash
+from .suffix import op10_suffix
 from .topk import OP4_SQL, op4_topk
 from .toxicity import op7_toxicity
 
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
+    "op10_suffix": op10_suffix,
 }
 ORACLE_SQL = {"op1_cover_tree": OP1_SQL, "op2_sharding": OP2_SQL, "op4_topk": OP4_SQL, "op6_chat_format": OP6_SQL}

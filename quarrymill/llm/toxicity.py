@@ -245,10 +245,18 @@ def model_for(spark: SparkSession, sf_dir: str) -> ToxicityModel:
     return fit(labelled_sample(docs, labels, "toxic", 4, 2, MOST_TRAINING_ROWS))
 
 
+THRESHOLD = 0.3
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """documents less those that score THRESHOLD or more."""
+    return docs.where(model.score(docs.sparkSession, F.col("text")) < THRESHOLD)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted. Null and empty texts get the score of a text without hits; repeated rows
     are scored alike; a null doc_id is scored and not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
     scored = docs.select("doc_id", held, model_for(spark, sf_dir).score(spark, F.col("text")).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
