@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import text
+from . import graph, retrieval, text
 
-_ALL = {**text.QUERIES}
+_ALL = {**retrieval.QUERIES, **text.QUERIES, **graph.QUERIES}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
