@@ -12,7 +12,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, numbered
+from .scratch import UID, Scratch, numbered
 
 #: Distinct patterns that the driver may receive. They number as the sources do, not as the documents.
 MOST_PATTERNS = 50_000
@@ -179,12 +179,12 @@ def mixed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """documents as the mix takes them: whole, and as many rows of each as it takes copies. Documents that it does not
     take, and those without words, are left out. Rows that repeat an id or have none are told apart."""
     rows, ids = numbered(docs, "doc_id", scratch)
-    narrow = rows.select("doc_id", "uid", n_words(F.col("text")).alias("size"), F.array("source").alias("sources"))
+    narrow = rows.select("doc_id", F.col(UID).alias("uid"), n_words(F.col("text")).alias("size"), F.array("source").alias("sources"))
     taken = mix(narrow, "doc_id", "sources", "size", scratch).where("taken > 0")
-    copies = scratch.keep(taken.select(F.col("doc_id").alias("_id"), F.col("uid").alias("_uid"), (F.col("taken") / F.col("size")).cast("int").alias("_copies")), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) if len(ids) > 1 else F.col("doc_id") == F.col("_id")
-    out = rows.join(copies, same & (F.col("uid") == F.col("_uid")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = scratch.keep(taken.select(F.col("doc_id").alias("_mix_id"), F.col("uid").alias("_mix_uid"), (F.col("taken") / F.col("size")).cast("int").alias("_mix_copies")), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) if len(ids) > 1 else F.col("doc_id") == F.col("_mix_id")
+    out = rows.join(copies, same & (F.col(UID) == F.col("_mix_uid")))
+    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

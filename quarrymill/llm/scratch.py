@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_ROOT = "/tmp/checkpoints"
+UID = "_quarrymill_uid"  # a name that no table is thought to have
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -40,8 +41,8 @@ class Scratch:
 
 
 def numbered(rows: DataFrame, key: str, scratch: Scratch) -> tuple[DataFrame, list[str]]:
-    """rows with a column uid, and the columns that tell rows apart: the key alone where every key is there once (uid
+    """rows with a column UID, and the columns that tell rows apart: the key alone where every key is there once (UID
     is then 0), else the key and a number fixed by writing the table. Only the keys are read to see which."""
     if rows.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).limit(1).isEmpty():
-        return rows.withColumn("uid", F.lit(0).cast("long")), [key]
-    return scratch.keep(rows.withColumn("uid", F.monotonically_increasing_id()), "numbered"), [key, "uid"]
+        return rows.withColumn(UID, F.lit(0).cast("long")), [key]
+    return scratch.keep(rows.withColumn(UID, F.monotonically_increasing_id()), "numbered"), [key, UID]

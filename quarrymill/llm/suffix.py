@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, numbered
+from .scratch import UID, Scratch, numbered
 
 WINDOW, GRAM = 100, 16
 CHUNK = 4 << 20  # bytes of text that are hashed together
@@ -333,8 +333,8 @@ def _move_segments(batches):
         for doc, uid, text, pos, gram in sorted(rows, key=lambda r: r[:2]):
             text = text.as_py()
             pos, gram = pos.values.to_numpy(), gram.values.to_numpy()
-            by = np.argsort(pos, kind="stable")
-            go = []
+            go = [(0, len(text))] if (pos < 0).any() else []
+            by = np.argsort(pos, kind="stable")[: 0 if go else None]
             for p, g in zip(pos[by].tolist(), gram[by].tolist()):
                 a, b = p >> 7, (p >> 7) + (p & 127) + WINDOW - 1
                 if found.setdefault((g, text[a:b]), (doc, uid, a)) != (doc, uid, a):
@@ -407,27 +407,39 @@ def _spans(starts, stops):
     return _merge(np.asarray(starts, np.int64), np.asarray(stops, np.int64))
 
 
+def _later_copies(rows: DataFrame) -> DataFrame:
+    """Documents that are byte for byte an earlier one, marked by position -1: they go as a whole, so that none of
+    their segments need be moved. Only digests and ids are shuffled, summed first."""
+    digest = rows.where(F.octet_length("bytes") >= WINDOW).select("doc_id", "uid", F.sha2("bytes", 256).alias("h"))
+    firsts = digest.groupBy("h").agg(F.min(F.struct("doc_id", "uid")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = digest.join(firsts, "h").where(F.struct("doc_id", "uid") != F.col("first"))
+    return later.select("doc_id", "uid", F.lit(-1).cast("long").alias("pos"), F.lit(0).cast("long").alias("gram"))
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch, carry: tuple[str, ...] = ()) -> DataFrame:
-    """documents (doc_id, text) as rows (doc_id, bytes, starts, stops, and the columns to carry): the text as UTF-8
+    """documents (doc_id, text) as rows (doc_id, bytes, starts, stops, rest: a struct of the columns to carry): the text as UTF-8
     and, unmerged, the byte ranges that repeat.
 
     Rows that repeat an id, and rows without one, are documents of their own: they are ordered by id (null first), then
     in the order of a table kept for the purpose. Null texts are empty. Texts are shuffled once, by document: both joins
     read the same columns of it, so that Spark reuses the exchange."""
     rows, ids = numbered(docs, "doc_id", scratch)
+    ids = ["doc_id", "uid"][: len(ids)]
+    rest = [F.struct(*carry).alias("rest")] if carry else []
     rows = rows.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "uid", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"), *carry
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(UID).alias("uid"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"), *rest
     )
-    texts = ["doc_id", "uid", "bytes", *carry]
+    texts = rows.columns
     buckets = 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grams = rows.where(F.octet_length("bytes") >= WINDOW).select("doc_id", "uid", "bytes").mapInArrow(_send_grams(buckets), _SENT)
     marked = grams.repartition("bucket").mapInArrow(_mark_repeated, _MARKED)
+    marked = marked.unionByName(_later_copies(rows))
     lists = marked.groupBy(*ids).agg(F.collect_list("pos").alias("pos"), F.collect_list("gram").alias("gram"))
     moved = rows.join(lists.hint("shuffle_hash"), ids).select(*texts, "pos", "gram").mapInArrow(_move_segments, _MOVED)
     cuts = moved.repartition("gram").sortWithinPartitions("gram").mapInArrow(_cut_repeats, _CUTS)
     spans = cuts.groupBy(*ids).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     out = rows.join(spans.hint("shuffle_hash"), ids, "left").withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
-    return out.select("doc_id", "bytes", "starts", "stops", *carry)
+    return out.select("doc_id", "bytes", "starts", "stops", *(["rest"] if carry else []))
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -440,8 +452,9 @@ def without_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     def left(texts: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
         return pa.array([without_spans(t.as_py(), a.as_py(), b.as_py()) for t, a, b in zip(texts, starts, stops)], pa.string())
 
-    out = spans.withColumn("text", left("bytes", "starts", "stops")).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = spans.withColumn("text", left("bytes", "starts", "stops"))
+    shown = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[shown[c] if c in shown else F.col("rest").getField(c) for c in docs.columns]).toDF(*docs.columns)
 
 
 def digests(spans: DataFrame) -> DataFrame:
