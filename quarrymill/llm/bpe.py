@@ -234,12 +234,11 @@ class BytePairCodec:
         self.sent, self.pattern = spark.sparkContext.broadcast(raw), pattern
         self.key = hashlib.sha256(raw).hexdigest()
 
-    def encode(self, text: Column) -> Column:
-        """array<int> of token ids; a null text is encoded like an empty one, as no ids."""
+    def _coder(self):
+        """Functions for tasks: a column of texts to ids, and ids to bytes."""
         sent, key, pattern = self.sent, self.key, self.pattern
 
-        @F.arrow_udf("array<int>")
-        def ids(texts: pa.Array) -> pa.Array:
+        def ids_of(texts: pa.Array) -> pa.ListArray:
             coder = _once("encode", (key, pattern), lambda: TextEncoder(sent.value, pattern))
             kept, offsets = [], [0]
             for some in in_chunks(texts, CHUNK_CHARS):
@@ -249,25 +248,49 @@ class BytePairCodec:
             flat = pa.array(np.concatenate(kept) if kept else np.empty(0, np.int32))
             return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
 
+        def bytes_of(rows: pa.ListArray) -> pa.Array:
+            table = _once("decode", key, lambda: {rank: token for token, rank in read_ranks(sent.value).items()})
+            return pa.array([b"".join(map(table.__getitem__, row.values.to_numpy(zero_copy_only=False).tolist())) if row.is_valid else b"" for row in rows], pa.binary())
+
+        return ids_of, bytes_of
+
+    def encode(self, text: Column) -> Column:
+        """array<int> of token ids; a null text is encoded like an empty one, as no ids."""
+        ids_of, _ = self._coder()
+
+        @F.arrow_udf("array<int>")
+        def ids(texts: pa.Array) -> pa.Array:
+            return ids_of(texts)
+
         return ids(text)
 
     def decode(self, ids: Column) -> Column:
         """binary; ids null: no bytes. An id outside the vocabulary fails."""
-        sent, key = self.sent, self.key
+        _, bytes_of = self._coder()
 
         @F.arrow_udf("binary")
         def decoded(rows: pa.Array) -> pa.Array:
-            table = _once("decode", key, lambda: {rank: token for token, rank in read_ranks(sent.value).items()})
-            return pa.array([b"".join(map(table.__getitem__, row.values.tolist())) if row.is_valid else b"" for row in rows], pa.binary())
+            return bytes_of(rows)
 
         return decoded(ids)
 
+    def round_trip(self, text: Column) -> Column:
+        """struct<ids, decoded>: encode(text), and what these ids decode to. One call for both, as Spark encodes
+        twice where a query reads both encode(text) and decode(encode(text))."""
+        ids_of, bytes_of = self._coder()
+
+        @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+        def both(texts: pa.Array) -> pa.Array:
+            ids = ids_of(texts)
+            return pa.StructArray.from_arrays([ids, bytes_of(ids)], names=["ids", "decoded"])
+
+        return both(text)
+
 
 def digests(docs: DataFrame, codec: BytePairCodec) -> DataFrame:
     """Of documents (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256. Null and empty texts have no tokens
     and the digests of nothing; repeated rows give repeated rows; an empty table gives an empty table."""
-    ids = docs.select("doc_id", codec.encode(F.col("text")).alias("ids"))
-    both = ids.select("doc_id", "ids", codec.decode(F.col("ids")).alias("decoded"))
+    both = docs.select("doc_id", codec.round_trip(F.col("text")).alias("both")).select("doc_id", "both.ids", "both.decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
