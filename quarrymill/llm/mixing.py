@@ -116,8 +116,9 @@ def _flow(patterns: list, capacity: dict, quota: dict, costs) -> dict:
 
 
 def mix(docs: DataFrame, key: str, sources: str, size: str, scratch: Scratch, seed: str = "mix", weights=WEIGHTS, most_repeats: int = 3) -> DataFrame:
-    """Adds to docs (columns key, sources: array of names, size: words; others are kept) the columns `pattern_size`,
-    `target` (the summed targets of the document's sources) and `taken` (words taken, repeats counted).
+    """Adds to docs (columns key, sources: array of names, size: words; others are kept, whatever their names) the columns
+    `pattern_size`, `target` (the summed targets of the document's sources) and `taken` (words taken, repeats counted),
+    in place of columns so named.
 
     Weights repeat over the sources in code point order, null last; the targets share out all words. Within a pattern
     every document is taken as often as the flow fills whole rounds, the first documents in the order of a seeded hash
@@ -125,10 +126,13 @@ def mix(docs: DataFrame, key: str, sources: str, size: str, scratch: Scratch, se
     cut by sums over hash bins, so that no pattern is sorted as a whole. Documents of size 0 are taken as 0 words;
     documents with no source take no part and are taken as 0."""
     spark = docs.sparkSession
-    row = F.monotonically_increasing_id()
-    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    kept = scratch.keep(docs.withColumns({"_row": row, "_order": order, "_sources": F.array_sort(F.array_distinct(sources))}), "documents")
-    totals = kept.groupBy("_sources").agg(F.sum(size).alias("words")).limit(MOST_PATTERNS + 1).collect()
+    made = ("pattern_size", "target", "taken")
+    kept = docs.select(
+        F.struct(*[c for c in docs.columns if c not in made]).alias("_kept"), F.col(key).alias("_key"), F.col(size).alias("_size"), F.array_sort(F.array_distinct(sources)).alias("_sources")
+    )
+    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("_key").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    kept = scratch.keep(kept.withColumns({"_row": F.monotonically_increasing_id(), "_order": order}), "documents")
+    totals = kept.groupBy("_sources").agg(F.sum("_size").alias("words")).limit(MOST_PATTERNS + 1).collect()
     if len(totals) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} patterns of sources")
     capacity = {tuple(r["_sources"]): int(r["words"] or 0) for r in totals if r["_sources"] is not None}
@@ -153,26 +157,26 @@ def mix(docs: DataFrame, key: str, sources: str, size: str, scratch: Scratch, se
     # nulls inside arrays make array equality unknown to a join, so patterns are matched by a string that spells them
     spelled = lambda df: df.withColumn("_p", F.to_json(F.struct("_sources")))
     docs_ = spelled(kept).join(spelled(plan).drop("_sources"), "_p", "left").withColumn("_bin", F.shiftright("_order", 32 - _BINS))
-    bins = docs_.where("_rest > 0").groupBy("_p", "_bin").agg(F.sum(size).alias("s"), F.first("_rest").alias("_rest"))
+    bins = docs_.where("_rest > 0").groupBy("_p", "_bin").agg(F.sum("_size").alias("s"), F.first("_rest").alias("_rest"))
     ahead = F.coalesce(F.sum("s").over(Window.partitionBy("_p").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cuts = scratch.keep(
         bins.withColumn("_ahead", ahead).where((F.col("_ahead") <= F.col("_rest")) & (F.col("_rest") < F.col("_ahead") + F.col("s"))).select("_p", F.col("_bin").alias("_cut"), "_ahead"), "cuts"
     )  # at most a row for each pattern
     docs_ = docs_.join(F.broadcast(cuts), "_p", "left")
     inside = docs_.where(F.col("_bin") == F.col("_cut"))
-    upto = F.sum(size).over(Window.partitionBy("_p").orderBy("_order", key, "_row")) + F.col("_ahead")
+    upto = F.sum("_size").over(Window.partitionBy("_p").orderBy("_order", "_key", "_row")) + F.col("_ahead")
     first = scratch.keep(inside.withColumn("_upto", upto).where(F.col("_upto") <= F.col("_rest")).select("_row", "_p", "_upto"), "first")
     reached = first.groupBy("_p").agg(F.max("_upto").alias("_reached"))
     chosen = docs_.join(first.select("_row", F.lit(1).alias("_in")), "_row", "left").withColumn("_once", (F.col("_bin") < F.col("_cut")) | F.col("_in").isNotNull())
     missing = F.col("_rest") - F.coalesce("_reached", "_ahead")
     closing = (
         chosen.where(F.col("_cut").isNotNull() & ~F.col("_once")).join(F.broadcast(reached), "_p", "left")
-        .withColumn("_gap", F.abs(F.col(size) - missing)).where(F.col("_gap") < missing)
+        .withColumn("_gap", F.abs(F.col("_size") - missing)).where(F.col("_gap") < missing)
         .groupBy("_p").agg(F.min(F.struct("_gap", "_order", "_row")).alias("c")).select("c._row", F.lit(1).alias("_closes"))
     )
     more = F.when(F.coalesce("_once", F.lit(False)) | F.col("_closes").isNotNull(), 1).otherwise(0)
-    out = chosen.join(closing, "_row", "left").withColumn("taken", F.coalesce((F.col("_rounds") + more) * F.col(size), F.lit(0)).cast("long"))
-    return out.select(*docs.columns, "pattern_size", "target", "taken")
+    out = chosen.join(closing, "_row", "left").withColumn("taken", F.coalesce((F.col("_rounds") + more) * F.col("_size"), F.lit(0)).cast("long"))
+    return out.select("_kept.*", "pattern_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, scratch: Scratch) -> DataFrame:

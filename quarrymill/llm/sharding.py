@@ -23,14 +23,15 @@ def shard(rows: DataFrame, key: str, n_bytes: str, limit: int, scratch: Scratch)
 
     A bucket splits on the next bit while it holds more than `limit` bytes and more than one row, so a row larger than
     the limit ends alone. The first 32 bits hash the key; the next 32 hash the key with the row's number in the kept
-    table, so that a key repeated over very many rows is split as well. Rows keep null keys and null sizes (0 bytes).
+    table, so that a key repeated over very many rows is split as well. Rows keep null keys and null sizes (0 bytes); their columns travel in one struct, whatever their names.
     Each round sums bytes by prefix before it shuffles, and only rows of oversized buckets take part in the next."""
     made = ("shard", "depth", "shard_bytes", "shard_rows")
     shown = [c for c in rows.columns if c not in made]
-    rows = rows.select(*shown)
-    at = F.monotonically_increasing_id()
-    rows = scratch.keep(rows.withColumns({"_row": at, "_bytes": F.coalesce(F.col(n_bytes).cast("long"), F.lit(0))}), "rows")
-    rows = rows.withColumn("_first", _hash32(F.col(key))).withColumn("_next", _hash32(F.concat_ws(":", F.col(key).cast("string"), "_row")))
+    rows = rows.select(
+        F.struct(*shown).alias("_rest"), F.col(key).cast("string").alias("_key"), F.coalesce(F.col(n_bytes).cast("long"), F.lit(0)).alias("_bytes")
+    )
+    rows = scratch.keep(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = rows.withColumn("_first", _hash32(F.col("_key"))).withColumn("_next", _hash32(F.concat_ws(":", "_key", "_row")))
     left, done = rows, []
     for base in range(0, HASH_BITS, ROUND_BITS):
         word, used = ("_first", base) if base < 32 else ("_next", base - 32)
@@ -55,7 +56,7 @@ def shard(rows: DataFrame, key: str, n_bytes: str, limit: int, scratch: Scratch)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select(*shown, "leaf.*")
+    return out.select("_rest.*", "leaf.*")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -415,3 +415,18 @@ def test_held_out_accuracy(spark):
     for query, label, least in ((quality.op9_quality, "quality", 0.95), (toxicity.op7_toxicity, "toxic", 0.9)):
         got = query(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
         assert sum(r["predicted"] == r[label] for r in got) / len(got) >= least
+
+
+def test_columns_of_any_name_stay(spark):
+    """Extra columns named like an operator's own neither clash nor change what it returns."""
+    docs = spark.range(40).selectExpr("id as doc_id", "id * 10 as size", "array('a') as sources")
+    own = dict.fromkeys("leaf _row _rest _kept _key _bytes _prefix _first _order _p _bin _cut _once b n".split(), F.lit("x"))
+    more = docs.withColumns(own | {"shard": F.lit("old"), "taken": F.lit(-1), "target": F.lit(None)})
+    plain, clashing = (sharding.shard(d, "doc_id", "size", 2000, Scratch(spark, "test")) for d in (docs, more))
+    assert set(own) < set(clashing.columns)
+    shown = ["doc_id", "shard", "depth", "shard_bytes", "shard_rows"]
+    assert sorted(plain.select(shown).collect()) == sorted(clashing.select(shown).collect())
+    plain, clashing = (mixing.mix(d, "doc_id", "sources", "size", Scratch(spark, "test")) for d in (docs, more))
+    assert set(own) < set(clashing.columns)
+    shown = ["doc_id", "size", "pattern_size", "target", "taken"]
+    assert sorted(plain.select(shown).collect()) == sorted(clashing.select(shown).collect())
