@@ -1,6 +1,6 @@
 """Suffix-array dedup: removes every byte covered by a 100-byte string that also starts earlier in the corpus.
 
-Each 100-byte window belongs to the least of its hashed 16-byte grams, so equal windows meet under the same gram
+Each 100-byte window belongs to the least of its hashed 32-byte grams, so equal windows meet under the same gram
 wherever they stand. Runs of windows with one gram are segments; only segments whose gram occurs again anywhere are
 moved. Where a gram's segments differ, they are put together into shards, whose suffix arrays are built by induced
 sorting and whose permuted common prefixes tell which windows are equal.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .scratch import UID, Scratch, numbered
 
-WINDOW, GRAM = 100, 16
+WINDOW, GRAM = 100, 32
 CHUNK = 4 << 20  # bytes of text that are hashed together
 SHARD = 2 << 20  # bytes of segments in one suffix array
 FLUSH = 1 << 20  # segments whose grams a task sends together
