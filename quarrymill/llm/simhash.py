@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import UID, Scratch, numbered
 
 MOST_DIFFERING = 4
 SHINGLE, SEED = 4, 42
@@ -215,14 +215,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
 
 
 def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """documents with one row of each group of near-duplicates: that of the least doc_id. Rows that repeat an id count
-    as copies; rows without an id are kept, as they cannot stand for a group."""
-    found = scratch.keep(near_duplicates(docs, scratch), "near-duplicates")
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if not kept.where("rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """documents with one row of each group of near-duplicates: that of the least doc_id, rows without an id last, and
+    of rows that share an id the one numbered first. Only near copies leave: rows that repeat an id with other texts
+    are documents of their own, as are rows without an id."""
+    rows, ids = numbered(docs, "doc_id", scratch)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", UID)
+    found = near_duplicates(rows.select(row.alias("row"), "text"), scratch, "row")
+    kept = found.where(F.col("row").eqNullSafe(F.col("component_id"))).select(F.col("row").getField(ids[-1]).alias(ids[-1]))
+    return rows.join(scratch.keep(kept, "kept"), ids[-1], "left_semi").select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,6 +147,17 @@ def test_simhash_keeps_one_of_each_group(spark, odd_docs):
     assert len(ids) == len(set(ids)) and 3 in ids and 1 in ids and 2 not in ids
 
 
+def test_simhash_drops_near_copies_only(spark):
+    """Ids that are there more than once, or missing, decide neither that a row leaves nor that it stays."""
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(rng.choice(string.ascii_lowercase) * rng.randint(1, 9) for _ in range(60)) for _ in range(5))
+    rows = [(2, a), (5, a), (5, b), (5, c), (5, c), (7, c), (None, d), (None, d), (None, b), (None, e), (9, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], DOCS).repartition(3)
+    kept = simhash.keep_one(docs, Scratch(spark, "t"))
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(2, a), (5, b), (5, c), (None, d), (9, e)])
+
+
 # ---- suffix arrays
 
 
