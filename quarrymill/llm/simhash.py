@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .components import components
 from .scratch import UID, Scratch, numbered
 
@@ -27,19 +28,25 @@ _SMALL = 12  # cells up to this size are compared side by side
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint_of(text: bytes, width: int = SHINGLE) -> int:
-    """The fingerprint of UTF-8 bytes; A-Z count as a-z, words are split at ASCII white space."""
+def shingles_of(text: bytes, width: int = SHINGLE) -> np.ndarray:
+    """Hashes of the word shingles of UTF-8 bytes, in order; A-Z count as a-z, words are split at ASCII white space. A
+    text of fewer words is one shingle, one without words has none."""
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     length = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(length + 1) - 1
     start = end - length
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start[: 1 - width].tolist(), end[width - 1 :].tolist())), np.uint64, len(words) - width + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start[: 1 - width].tolist(), end[width - 1 :].tolist())), np.uint64, len(words) - width + 1)
+
+
+def fingerprint_of(text: bytes, width: int = SHINGLE) -> int:
+    """The fingerprint of UTF-8 bytes, 0 where there are no words."""
+    h = shingles_of(text, width)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -215,12 +222,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
 
 
 def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """documents with one row of each group of near-duplicates: that of the least doc_id, rows without an id last, and
-    of rows that share an id the one numbered first. Only near copies leave: rows that repeat an id with other texts
+    """documents with one row of each group of near copies (near_copies): that of the least doc_id, rows without an id
+    last, and of rows that share an id the one numbered first. Only near copies leave: rows that repeat an id with other texts
     are documents of their own, as are rows without an id."""
     rows, ids = numbered(docs, "doc_id", scratch)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", UID)
-    found = near_duplicates(rows.select(row.alias("row"), "text"), scratch, "row")
+    found = near_copies.near_copies(rows.select(row.alias("row"), "text"), scratch, "row")
     kept = found.where(F.col("row").eqNullSafe(F.col("component_id"))).select(F.col("row").getField(ids[-1]).alias(ids[-1]))
     return rows.join(scratch.keep(kept, "kept"), ids[-1], "left_semi").select(*docs.columns)
 

@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from quarrymill.llm import bpe, chat, cover_tree, mixing, quality, queries, sharding, simhash, suffix, topk, toxicity
+from quarrymill.llm import bpe, chat, cover_tree, mixing, near_copies, quality, queries, sharding, simhash, suffix, topk, toxicity
 from quarrymill.llm.scratch import Scratch
 
 from compare import database, rows_of, rows_of_sql
@@ -158,6 +158,36 @@ def test_simhash_drops_near_copies_only(spark):
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(2, a), (5, b), (5, c), (None, d), (9, e)])
 
 
+@pytest.mark.parametrize("pairs", [0, 2])
+def test_near_copies_equal_brute_force(spark, monkeypatch, pairs):
+    """Texts with some words replaced, most of them too different for 4 bits of 64: the groups of all pairs of likeness
+    0.8 or more."""
+    monkeypatch.setattr(near_copies, "PAIRS", pairs)
+    rng = random.Random(6)
+    words = ["w" + str(k) for k in range(400)]
+    texts = ["", "one", "One ", "a b c d", "a b c d e f"]
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice([40, 100, 300]))]
+        for _ in range(6):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), rng.randint(0, len(base) // 40)):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy))
+    sets = [set(near_copies.set_of(t.encode()).tolist()) for t in texts]
+    least = list(range(len(texts)))
+    linked = [(a, b) for a in least for b in range(a) if texts[a] and texts[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in linked:
+            least[a] = least[b] = min(least[a], least[b])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = near_copies.near_copies(docs, Scratch(spark, "t"), "doc_id").collect()
+    assert sorted(map(tuple, found)) == list(enumerate(least))
+    wide = [p for p in linked if bin(simhash.fingerprint_of(texts[p[0]].encode()) ^ simhash.fingerprint_of(texts[p[1]].encode())).count("1") > 4]
+    assert len(wide) > len(linked) // 4
+    kept = simhash.keep_one(docs, Scratch(spark, "t"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least))
+
+
 # ---- suffix arrays
 
 
