@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PLAIN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
 
-#: Pieces a Python worker remembers; beyond it the memory starts afresh.
-REMEMBERED_PIECES = 1_000_000
-REMEMBERED_PAIRS = 1_000_000
+#: Bytes of pieces, ids and their overhead that a Python worker remembers, and pairs of tokens; beyond them the memory
+#: starts afresh. Longer pieces than LONGEST_REMEMBERED characters are worked out whenever they occur.
+REMEMBERED_BYTES, PIECE_OVERHEAD, LONGEST_REMEMBERED = 48 << 20, 200, 200
+REMEMBERED_PAIRS = 300_000
 #: Characters whose pieces are encoded together.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 MOST_VOCABULARY_BYTES = 64 << 20
 
 
@@ -154,6 +155,7 @@ class TextEncoder:
         self.encoder = PrefixEncoder(read_ranks(raw))
         self.exact = regex.compile(pattern)
         self.seen: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.held = 0  # about how many bytes `seen` takes
         self.plain = self.odd = None
         if pattern == PATTERN:
             every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
@@ -175,17 +177,25 @@ class TextEncoder:
         """New pieces are taken in byte order through one prefix table, so that what neighbours begin with alike is
         worked out once."""
         seen, ranks, table = self.seen, self.encoder.ranks, PrefixTable(self.encoder)
-        if len(seen) > REMEMBERED_PIECES:
+        if self.held > REMEMBERED_BYTES:
             seen.clear()
-        split = [self.pieces(text) for text in texts]
+            self.held = 0
+        split, long = [self.pieces(text) for text in texts], []
         new = {piece.encode(): piece for piece in set().union(*split).difference(seen)}
         for piece in sorted(new):
             whole = ranks.get(piece)
             if whole is None:
                 table.cut(shared(table.piece, piece))
                 table.append(piece[len(table.piece) :])
-            seen[new[piece]] = array("i", table.tokens() if whole is None else (whole,)).tobytes()
-        return [np.frombuffer(b"".join(map(seen.__getitem__, pieces)), np.int32) for pieces in split]
+            seen[new[piece]] = ids = array("i", table.tokens() if whole is None else (whole,)).tobytes()
+            if len(piece) > LONGEST_REMEMBERED:
+                long.append(new[piece])
+            else:
+                self.held += len(piece) + len(ids) + PIECE_OVERHEAD
+        out = [np.frombuffer(b"".join(map(seen.__getitem__, pieces)), np.int32) for pieces in split]
+        for piece in long:
+            del seen[piece]
+        return out
 
 
 def shared(a: bytes, b: bytes) -> int:
@@ -289,7 +299,8 @@ class BytePairCodec:
 
 def digests(docs: DataFrame, codec: BytePairCodec) -> DataFrame:
     """Of documents (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256. Null and empty texts have no tokens
-    and the digests of nothing; repeated rows give repeated rows; an empty table gives an empty table."""
+    and the digests of nothing; very long texts and pieces are encoded whole; repeated rows give repeated rows, null ids
+    stay; an empty table gives an empty table."""
     both = docs.select("doc_id", codec.round_trip(F.col("text")).alias("both")).select("doc_id", "both.ids", "both.decoded")
     return both.select(
         "doc_id",
