@@ -23,7 +23,9 @@ def shard(rows: DataFrame, key: str, n_bytes: str, limit: int, scratch: Scratch)
 
     A bucket splits on the next bit while it holds more than `limit` bytes and more than one row, so a row larger than
     the limit ends alone. The first 32 bits hash the key; the next 32 hash the key with the row's number in the kept
-    table, so that a key repeated over very many rows is split as well. Rows keep null keys and null sizes (0 bytes); their columns travel in one struct, whatever their names.
+    table, so that a key repeated over very many rows is split as well; 64 bits tell all rows apart but for chance, and a
+    bucket that they do not split stays whole. Rows keep null keys and null sizes (0 bytes, like empty texts); their
+    columns travel in one struct, whatever their names. An empty table gives an empty one.
     Each round sums bytes by prefix before it shuffles, and only rows of oversized buckets take part in the next."""
     made = ("shard", "depth", "shard_bytes", "shard_rows")
     shown = [c for c in rows.columns if c not in made]
@@ -48,6 +50,9 @@ def shard(rows: DataFrame, key: str, n_bytes: str, limit: int, scratch: Scratch)
             nodes.select("_prefix", "shard", "depth").join(sums.where(fits).drop("depth"), "shard")
             .groupBy("_prefix").agg(F.min_by(F.struct("shard", "depth", "shard_bytes", "shard_rows"), "depth").alias("leaf"))
         )
+        # the first round has 2 ** ROUND_BITS prefixes at most, so its leaves go to every task and no row is shuffled;
+        # later ones have as many for each bucket that is still too large, and far fewer rows to each
+        leaf = F.broadcast(leaf) if base == 0 else leaf
         placed = scratch.keep(left.join(leaf, "_prefix", "left"), f"round-{base}")
         done.append(placed.where("leaf is not null"))
         left = placed.where("leaf is null").drop("leaf")
