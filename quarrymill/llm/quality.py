@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .training import fold, labelled_sample
 
 BITS = 18
@@ -31,8 +32,8 @@ def shape(word: str) -> str:
 
 
 class Grams:
-    """Indices of a text's hashed features: its words, and one- and two-word grams of their shapes, where a word that
-    repeats the one before has a shape of its own."""
+    """Indices of a text's hashed features: its one- and two-word grams, and those of the words' shapes, where a word
+    that repeats the one before has a shape of its own."""
 
     def __init__(self):
         self.seen: dict[str, int] = {}
@@ -49,17 +50,18 @@ class Grams:
             again = np.zeros(len(words), bool)
             again[1:] = both[1:] == both[:-1]
             looks = np.where(again, np.uint64(0x5BD1E995), looks)
-        pairs = looks[:-1] * np.uint64(0x9E3779B97F4A7C15) + looks[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        pair = lambda x: x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        pairs = np.concatenate((pair(surface) * np.uint64(0xFF51AFD7ED558CCD), pair(looks)))
         mixed = np.concatenate((surface * np.uint64(0xFF51AFD7ED558CCD), looks * np.uint64(0xC4CEB9FE1A85EC53), pairs ^ (pairs >> np.uint64(29))))
         return (mixed >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], base: float) -> np.ndarray:
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], base: float, epochs: int = EPOCHS) -> np.ndarray:
     """FTRL-proximal over (indices, values, label); the returned weights have the intercept last."""
     z, n, size = np.zeros(1 << BITS), np.zeros(1 << BITS), 1 << BITS
     bias, bias_n = base, 0.0
     rng = np.random.default_rng(7)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         for k in rng.permutation(len(rows)):
             at, x, y = rows[k]
             zi, root = z[at], np.sqrt(n[at])
@@ -118,10 +120,11 @@ def score(spark: SparkSession, text: Column, model: bytes) -> Column:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted. Null and empty texts get the intercept's score; repeated rows are scored
-    alike; a null doc_id is scored and not held out."""
+    """doc_id, held_out, score, predicted. Null and empty texts get the intercept's score; very long texts are scored
+    whole; repeated rows are scored alike, and rows that share an id are held out together; a null doc_id is scored and
+    not held out. Without documents no row is returned, without labels every score is 0.5."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    model = fit(labelled_sample(docs, labels, "quality", 3, 1, MOST_TRAINING_ROWS))
+    model = fit(labelled_sample(docs, labels, "quality", 3, 1, MOST_TRAINING_ROWS, Scratch(spark, "quality")))
     scored = docs.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), score(spark, F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .training import fold, labelled_sample
 
 #: Labelled documents that training may read.
@@ -137,16 +138,15 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     return [*map(math.log1p, sums), math.log1p(1000 * n / len(spans)), float(sums[0] > 0)]
 
 
-def _gain(a: int, b: int, pos: int, neg: int) -> float:
+def _gain(a: Column, b: Column, pos: int, neg: int) -> Column:
     """Log-likelihood ratio of a term in a of pos and b of neg texts."""
-    total, out = pos + neg, 0.0
+    total, out = pos + neg, F.lit(0.0)
     for seen, of, share in ((a, a + b, pos), (b, a + b, neg), (pos - a, total - a - b, pos), (neg - b, total - a - b, neg)):
-        if seen > 0:
-            out += seen * math.log(seen * total / (of * share))
+        out += F.when(seen > 0, seen * F.log(seen * total / (of * share))).otherwise(0.0)
     return 2 * out
 
 
-def learn_lexicon(sample: DataFrame, counts: dict) -> list[tuple[str, bool, float]]:
+def learn_lexicon(sample: DataFrame, counts: dict, scratch: Scratch) -> list[tuple[str, bool, float]]:
     """Terms that mark toxic texts in a bounded sample (text, label). A term counts once for each different word of a
     text that it covers, so a stem with many endings shows early. Candidates are counted where the texts are and summed
     by a shuffle; only those that pass the thresholds reach the driver."""
@@ -168,14 +168,14 @@ def learn_lexicon(sample: DataFrame, counts: dict) -> list[tuple[str, bool, floa
             yield pd.DataFrame({"term": some, "a": [seen[1][t] for t in some], "b": [seen[0][t] for t in some]})
 
     both = sample.mapInPandas(candidates, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    both = both.persist()
+    both = scratch.keep(both, "terms")
     pos, neg = (both.where("term = ''").select("a", "b").first() or (0, 0))
     if not pos or not neg:
         return []
     odds = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("b") + 0.5) / (neg + 1))
-    rows = [(r["term"], _gain(r["a"], r["b"], pos, neg), r["odds"]) for r in both.where("a >= 3 and term <> ''").withColumn("odds", odds).where(F.col("odds") > LEAST_ODDS).collect()]
-    both.unpersist()
-    rows = sorted((-gain, not term.endswith("$"), -len(term), term, weight) for term, gain, weight in rows if gain >= LEAST_GAIN)
+    scored = both.where("a >= 3 and term <> ''").select("term", F.round(_gain(F.col("a"), F.col("b"), pos, neg), 9).alias("gain"), odds.alias("odds"))
+    rows = scored.where((F.col("odds") > LEAST_ODDS) & (F.col("gain") >= LEAST_GAIN)).collect()  # few: each term has a gain that a bounded sample's texts share out
+    rows = sorted((-r["gain"], not r["term"].endswith("$"), -len(r["term"]), r["term"], r["odds"]) for r in rows)
     chosen: list[tuple[str, bool, float]] = []
     for _, stem, _, term, weight in rows:
         text = term.rstrip("$")
@@ -219,11 +219,11 @@ class ToxicityModel:
         return scored(text)
 
 
-def fit(sample: DataFrame) -> ToxicityModel:
-    """Learns from a bounded sample (text, label). Without any toxic or any other text, every score is the smoothed
+def fit(sample: DataFrame, scratch: Scratch) -> ToxicityModel:
+    """Learns from a bounded, kept sample (text, label). Without any toxic or any other text, every score is the smoothed
     share of toxic texts."""
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    terms = learn_lexicon(sample, counts)
+    terms = learn_lexicon(sample, counts, scratch)
     bias = math.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5)) if counts else math.log(0.1)
     if not terms:
         return ToxicityModel([], [0.0] * N_FEATURES + [bias])
@@ -242,20 +242,24 @@ def fit(sample: DataFrame) -> ToxicityModel:
 def model_for(spark: SparkSession, sf_dir: str) -> ToxicityModel:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return fit(labelled_sample(docs, labels, "toxic", 4, 2, MOST_TRAINING_ROWS))
+    scratch = Scratch(spark, "toxicity")
+    return fit(labelled_sample(docs, labels, "toxic", 4, 2, MOST_TRAINING_ROWS, scratch), scratch)
 
 
 THRESHOLD = 0.3
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """documents less those that score THRESHOLD or more."""
+    """documents less those that score THRESHOLD or more. Null and empty texts have no hits and stay unless the model
+    is of a corpus most of which is toxic; very long texts are scored whole; rows are judged one by one, so repeated
+    rows go or stay together; no column is added, so that names cannot clash; an empty table gives an empty one."""
     return docs.where(model.score(docs.sparkSession, F.col("text")) < THRESHOLD)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted. Null and empty texts get the score of a text without hits; repeated rows
-    are scored alike; a null doc_id is scored and not held out."""
+    """doc_id, held_out, score, predicted. Null and empty texts get the score of a text without hits; very long texts
+    are scored whole; repeated rows are scored alike, and rows that share an id are held out together; a null doc_id is
+    scored and not held out. Without documents no row is returned, without labels every score is the same."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
     scored = docs.select("doc_id", held, model_for(spark, sf_dir).score(spark, F.col("text")).alias("score"))
