@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_ROOT = "/tmp/checkpoints"
-UID = "_quarrymill_uid"  # a name that no table is thought to have
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -40,9 +39,19 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(rows: DataFrame, key: str, scratch: Scratch) -> tuple[DataFrame, list[str]]:
-    """rows with a column UID, and the columns that tell rows apart: the key alone where every key is there once (UID
-    is then 0), else the key and a number fixed by writing the table. Only the keys are read to see which."""
+def free_name(columns: list[str], wish: str) -> str:
+    """wish, or wish with a number, so that no column is so named, whatever its case."""
+    taken, k = {c.lower() for c in columns}, 0
+    while (name := f"{wish}{k or ''}").lower() in taken:
+        k += 1
+    return name
+
+
+def numbered(rows: DataFrame, key: str, scratch: Scratch) -> tuple[DataFrame, list[str], str]:
+    """rows with a column of row numbers, the columns that tell rows apart, and the number's name: the key alone tells
+    where every key is there once (numbers are then 0), else the key and a number fixed by writing the table. Only the
+    keys are read to see which."""
+    name = free_name(rows.columns, "_uid")
     if rows.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).limit(1).isEmpty():
-        return rows.withColumn(UID, F.lit(0).cast("long")), [key]
-    return scratch.keep(rows.withColumn(UID, F.monotonically_increasing_id()), "numbered"), [key, UID]
+        return rows.withColumn(name, F.lit(0).cast("long")), [key], name
+    return scratch.keep(rows.withColumn(name, F.monotonically_increasing_id()), "numbered"), [key, name], name

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import near_copies
 from .components import components
-from .scratch import UID, Scratch, numbered
+from .scratch import Scratch, numbered
 
 MOST_DIFFERING = 4
 SHINGLE, SEED = 4, 42
@@ -46,7 +46,11 @@ def shingles_of(text: bytes, width: int = SHINGLE) -> np.ndarray:
 
 def fingerprint_of(text: bytes, width: int = SHINGLE) -> int:
     """The fingerprint of UTF-8 bytes, 0 where there are no words."""
-    h = shingles_of(text, width)
+    return majority(shingles_of(text, width))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -210,8 +214,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     """Of documents: key, fp, component_id (the least key reachable by links, the document's own included).
 
     Every row is returned, repeated rows repeatedly. Copies share a fingerprint and are never paired with one another.
-    Null and empty texts have fingerprint 0, linked like any other; a null key never names a component that has other
-    keys. Texts are read once and not shuffled."""
+    Null and empty texts have fingerprint 0, linked like any other; very long texts are read whole; a null key never
+    names a component that has other keys; an empty table gives an empty one. Texts are read once and not shuffled."""
     printed = scratch.keep(docs.select(F.col(key).alias("key"), fingerprint(F.col(text)).alias("fp")), "fingerprints")
     distinct = scratch.keep(printed.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
     linked = components(links(distinct.select("fp"), scratch), scratch)
@@ -224,9 +228,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
 def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """documents with one row of each group of near copies (near_copies): that of the least doc_id, rows without an id
     last, and of rows that share an id the one numbered first. Only near copies leave: rows that repeat an id with other texts
-    are documents of their own, as are rows without an id."""
-    rows, ids = numbered(docs, "doc_id", scratch)
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", UID)
+    are documents of their own, as are rows without an id. Null and empty texts are copies of one another; very long
+    texts are compared whole; columns keep their names, whatever these are; an empty table gives an empty one."""
+    rows, ids, number = numbered(docs, "doc_id", scratch)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", number)
     found = near_copies.near_copies(rows.select(row.alias("row"), "text"), scratch, "row")
     kept = found.where(F.col("row").eqNullSafe(F.col("component_id"))).select(F.col("row").getField(ids[-1]).alias(ids[-1]))
     return rows.join(scratch.keep(kept, "kept"), ids[-1], "left_semi").select(*docs.columns)

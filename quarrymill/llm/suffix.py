@@ -4,6 +4,10 @@ Each 100-byte window belongs to the least of its hashed 32-byte grams, so equal
 wherever they stand. Runs of windows with one gram are segments; only segments whose gram occurs again anywhere are
 moved. Where a gram's segments differ, they are put together into shards, whose suffix arrays are built by induced
 sorting and whose permuted common prefixes tell which windows are equal.
+
+No gram gathers its segments in one place without bound. Grams with more than HOT segments anchor a window only where
+it has no other gram, and segments of one gram beyond SHARD bytes meet again under longer anchors: a window that holds
+a gram of n bytes also holds half the bytes that it can have before it, or half of those behind.
 """
 
 from __future__ import annotations
@@ -15,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import UID, Scratch, numbered
+from .scratch import Scratch, numbered
 
 WINDOW, GRAM = 100, 32
-CHUNK = 4 << 20  # bytes of text that are hashed together
-SHARD = 2 << 20  # bytes of segments in one suffix array
-FLUSH = 1 << 20  # segments whose grams a task sends together
+CHUNK = 1 << 20  # bytes of text that are hashed together
+SHARD = 1 << 20  # bytes of segments in one suffix array
+FLUSH = 1 << 19  # segments whose grams a task sends together
+MOVE = 8 << 20  # bytes of text whose segments are cut out together
+#: Segments from which a gram counts as hot: so many, and more where else over MOST_HOT grams would be hot.
+HOT, MOST_HOT = 4096, 500_000
 _PLACE = np.uint64((1 << 24) - 1)
 _NO_ID = -(1 << 63)
 
@@ -72,25 +79,33 @@ def _induce(t, s_type, lms, first, last):
     return sa
 
 
-def _order_names(names):
-    """Order of the suffixes of a string of names: pairs of names are named in turn until all differ."""
-    rank, h = names, 1
-    while True:
-        nxt = np.zeros(len(rank), np.int64)
-        nxt[:-h] = rank[h:] + 1
-        key = rank * (len(rank) + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        step = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-        rank = np.empty(len(rank), np.int64)
-        rank[order] = step
-        if len(rank) == 0 or step[-1] == len(rank) - 1 or h >= len(rank):
-            return order
-        h *= 2
+def _induce_wide(t, s_type, lms, first, last):
+    """The same, symbol by symbol: for strings of names, whose buckets are many and small."""
+    t, s_type = t.tolist(), s_type.tolist()
+    sa = [-1] * len(t)
+
+    def pull(places, want, ptr, step):
+        for k in places:
+            j = sa[k] - 1
+            if j >= 0 and s_type[j] == want:
+                c = t[j]
+                ptr[c] += step
+                sa[ptr[c]] = j
+
+    back = last.tolist()
+    for i in lms[::-1].tolist():
+        back[t[i]] -= 1
+        sa[back[t[i]]] = i
+    pull(range(len(t)), False, (first - 1).tolist(), 1)
+    pull(range(len(t) - 1, -1, -1), True, last.tolist(), -1)
+    return np.array(sa)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffix array of symbols 1.. followed by one 0, by induced sorting."""
+    """Suffix array of symbols 1.. followed by one 0, by induced sorting: leftmost-smaller substrings are put in order
+    and named, names that recur are ordered by the suffix array of the string of names, and the rest is induced."""
     n, sigma = len(t), int(t.max(initial=0)) + 1
+    induce = _induce if sigma <= 512 else _induce_wide
     count = np.bincount(t, minlength=sigma)
     last = np.cumsum(count)
     first = last - count
@@ -105,7 +120,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     if len(lms) > 1:
         place = np.full(n, -1, np.int64)
         place[lms] = np.arange(len(lms))
-        rough = _induce(t, s_type, lms, first, last)
+        rough = induce(t, s_type, lms, first, last)
         by = rough[place[rough] >= 0]
         size = np.diff(np.append(lms, n))[place[by]] + 1  # up to and with the next LMS symbol
         same = np.zeros(len(by), bool)
@@ -122,8 +137,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
             k += 1
         names = np.empty(len(lms), np.int64)
         names[place[by]] = np.cumsum(~same) - 1
-        lms = by if not same.any() else lms[_order_names(names)]
-    return _induce(t, s_type, lms, first, last)
+        lms = by if not same.any() else lms[suffix_array(np.append(names + 1, 0))[1:]]
+    return induce(t, s_type, lms, first, last)
 
 
 def permuted_lcp(raw: np.ndarray, sa: np.ndarray, room: np.ndarray, fresh: np.ndarray) -> np.ndarray:
@@ -188,8 +203,8 @@ def repeated_windows(segments: list[bytes], order: np.ndarray, window: int = WIN
 
 
 def segments(texts: list[bytes]):
-    """(text, start, windows, gram hash) arrays: runs of windows that have their least gram in one place."""
-    out = [[], [], [], []]
+    """(text, start, windows, gram hash, gram's offset) arrays: runs of windows that have their least gram in one place."""
+    out = [[], [], [], [], []]
     held, n = [], 0
     for k, text in enumerate(texts):
         for at in range(0, max(1, len(text)), CHUNK):  # very long texts in pieces that overlap by a window
@@ -201,10 +216,15 @@ def segments(texts: list[bytes]):
                 _grams(held, out)
                 held, n = [], 0
     _grams(held, out)
-    return [np.concatenate([np.empty(0, np.int64 if k < 3 else np.uint64), *x]) for k, x in enumerate(out)]
+    return _joined(out)
+
+
+def _joined(out):
+    return [np.concatenate([np.empty(0, np.uint64 if k == 3 else np.int64), *x]) for k, x in enumerate(out)]
 
 
-def _grams(held, out):
+def _grams(held, out, hot=None):
+    """hot: sorted hashes of grams that are taken only where a window has no other."""
     if not held:
         return
     size = np.array([len(p) for _, _, p in held])
@@ -218,7 +238,11 @@ def _grams(held, out):
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
-    least = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+    weight = h
+    if hot is not None:
+        at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+        weight = (h >> np.uint64(1)) | ((hot[at] == h).astype(np.uint64) << np.uint64(63))
+    least = (weight & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     span, width = 1, WINDOW - GRAM + 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -240,14 +264,16 @@ def _grams(held, out):
     out[1].append(first - start[owner] + np.array([at for _, at, _ in held])[owner])
     out[2].append(stop - first)
     out[3].append(h[place[first]])
+    out[4].append(place[first] - first)
 
 
 # ---- Spark stages
 
 _SENT = "bucket int, known boolean, doc binary, uid binary, pos binary, gram binary"
 _MARKED = "doc_id long, uid long, pos long, gram long"
-_MOVED = "gram long, segment binary, doc_id long, uid long, start long, stop long"
-_CUTS = "doc_id long, uid long, start long, stop long"
+#: Moved segments with their anchor's offset and length; rows without a segment are ranges that go.
+_MOVED = "gram long, segment binary, doc_id long, uid long, start long, stop long, anchor int, size int"
+_GONE = "gram segment doc_id uid start stop anchor size"
 
 
 def _columns(names, *arrays):
@@ -282,8 +308,8 @@ def _send_grams(buckets: int):
         parts, n = [], 0
         for batch in batches:
             doc, uid = batch["doc_id"].to_numpy(), batch["uid"].to_numpy()
-            text, start, windows, gram = segments([x.as_py() for x in batch["bytes"]])
-            parts.append((doc[text], uid[text], start << 7 | windows, gram))
+            text, start, windows, gram, anchor = segments([x.as_py() for x in batch["bytes"]])
+            parts.append((doc[text], uid[text], start << 14 | anchor << 7 | windows, gram))
             n += len(text)
             if n >= FLUSH:
                 yield from flush(parts)
@@ -295,25 +321,33 @@ def _send_grams(buckets: int):
 
 
 def _mark_repeated(batches):
-    """The segments whose gram occurs more than once. A part's first occurrence of a gram that recurs within it comes
-    without a position: it only counts, as the segment itself is known already."""
-    held = []
+    """Of rows in order of their buckets, the segments whose gram occurs more than once. A part's first occurrence of a
+    gram that recurs within it comes without a position: it only counts, as the segment itself is known already."""
+
+    def settled(held):
+        doc, uid, pos, gram = (np.concatenate([h[k] for h in held]) for k in range(4))
+        by = np.argsort(gram, kind="stable")
+        again = gram[by][1:] == gram[by][:-1]
+        keep = by[(np.append(again, False) | np.concatenate(([False], again)))]
+        keep = keep[pos[keep] >= 0]
+        return _columns("doc_id uid pos gram", doc[keep], uid[keep], pos[keep], gram[keep])
+
+    held, bucket = [], None
     for batch in batches:
-        known = batch["known"].to_numpy(zero_copy_only=False)
+        known, buckets = batch["known"].to_numpy(zero_copy_only=False), batch["bucket"].to_numpy()
         parts = [[np.frombuffer(x.as_py(), np.int64) for x in batch[c]] for c in ("doc", "uid", "pos", "gram")]
         for k in range(batch.num_rows):
             one = [p[k] for p in parts]
+            if held and buckets[k] != bucket:
+                yield settled(held)
+                held = []
+            bucket = buckets[k]
             if known[k]:
                 yield _columns("doc_id uid pos gram", *one)
             else:
                 held.append(one)
     if held:
-        doc, uid, pos, gram = (np.concatenate([h[k] for h in held]) for k in range(4))
-        by = np.argsort(gram, kind="stable")
-        again = gram[by][1:] == gram[by][:-1]
-        keep = by[(np.append(again, False) | np.concatenate(([False], again)))]
-        keep = keep[pos[keep] >= 0]
-        yield _columns("doc_id uid pos gram", doc[keep], uid[keep], pos[keep], gram[keep])
+        yield settled(held)
 
 
 def _merge(start: np.ndarray, stop: np.ndarray):
@@ -324,81 +358,149 @@ def _merge(start: np.ndarray, stop: np.ndarray):
     return start[new], stop[np.append(np.flatnonzero(new)[1:] - 1, len(stop) - 1)] if len(start) else stop
 
 
-def _move_segments(batches):
+def _move_segments(hot):
     """Marked segments with their bytes. Of equal segments in a batch only the earliest is moved; the ranges of the
-    others are known to go and are passed on as they are."""
-    for batch in batches:
-        found: dict = {}
-        rows = zip(batch["doc_id"].to_pylist(), batch["uid"].to_pylist(), batch["bytes"], batch["pos"], batch["gram"])
+    others are known to go and are passed on as they are. Segments of hot grams are anchored anew (hot: their sorted
+    hashes, sent to every task)."""
+
+    def moved(rows, hot_now):
+        found, warm, gone = {}, {}, []
         for doc, uid, text, pos, gram in sorted(rows, key=lambda r: r[:2]):
-            text = text.as_py()
-            pos, gram = pos.values.to_numpy(), gram.values.to_numpy()
             go = [(0, len(text))] if (pos < 0).any() else []
             by = np.argsort(pos, kind="stable")[: 0 if go else None]
-            for p, g in zip(pos[by].tolist(), gram[by].tolist()):
-                a, b = p >> 7, (p >> 7) + (p & 127) + WINDOW - 1
-                if found.setdefault((g, text[a:b]), (doc, uid, a)) != (doc, uid, a):
+            at = np.minimum(np.searchsorted(hot_now, gram.view(np.uint64)), max(0, len(hot_now) - 1))
+            is_hot = hot_now[at] == gram.view(np.uint64) if len(hot_now) else np.zeros(len(gram), bool)
+            for p, g, h in zip(pos[by].tolist(), gram[by].tolist(), is_hot[by].tolist()):
+                a, b = p >> 14, (p >> 14) + (p & 127) + WINDOW - 1
+                first = (warm if h else found).setdefault((g, text[a:b]), (doc, uid, a, p >> 7 & 127))
+                if first[:3] != (doc, uid, a):
                     go.append((a, b))
-            if go:
-                a, b = _merge(*np.array(go, np.int64).T)
-                n = len(a)
-                yield _columns("gram segment doc_id uid start stop", np.full(n, doc ^ 0x5DEECE66D), pa.nulls(n, pa.binary()), np.full(n, doc), np.full(n, uid), a, b)
+            gone += [(doc, uid, *r) for r in zip(*_merge(*np.array(go, np.int64).T))] if go else []
+        if warm:
+            places, out = list(warm.values()), [[], [], [], [], []]
+            _grams([(k, 0, seg) for k, (_, seg) in enumerate(warm)], out, hot_now)
+            segs = [seg for _, seg in warm]
+            text, start, windows, gram, anchor = _joined(out)
+            for k, a, w, g, x in zip(text.tolist(), start.tolist(), windows.tolist(), gram.view(np.int64).tolist(), anchor.tolist()):
+                doc, uid, at, _ = places[k]
+                key, place = (g, segs[k][a : a + w + WINDOW - 1]), (doc, uid, at + a, x)
+                first = found.setdefault(key, place)
+                if first != place:
+                    found[key], late = min(first, place), max(first, place)
+                    gone.append((*late[:3], late[2] + len(key[1])))
+        if gone:
+            doc, uid, a, b = np.array(gone, np.int64).T
+            none = pa.nulls(len(a), pa.int32())
+            yield _columns(_GONE, doc ^ 0x5DEECE66D, pa.nulls(len(a), pa.binary()), doc, uid, a, b, none, none)
         if found:
-            doc, uid, a = (np.array(x, np.int64) for x in zip(*found.values()))
+            doc, uid, a, x = (np.array(c, np.int64) for c in zip(*found.values()))
             gram = np.array([g for g, _ in found], np.int64)
-            yield _columns("gram segment doc_id uid start stop", gram, pa.array([s for _, s in found], pa.binary()), doc, uid, a, a)
-
-
-def _cut_repeats(batches):
-    """Moved segments in order of their grams, to the ranges that go. A gram's segments are of one batch or carried
-    over to the next; equal ones are one text with many places."""
-    shard: list = []  # (segment, doc, uid, start) of the earliest place of texts that share a gram with another
-    size, group, gram_now = 0, {}, None
-
-    def shards():
-        segs = [s for s, *_ in shard]
-        doc, uid, start = (np.array(x, np.int64) for x in zip(*(r[1:] for r in shard)))
-        _, rank = np.unique(np.stack((doc, uid), axis=1), axis=0, return_inverse=True)
-        hit = [(k, a, b) for k, a, b in repeated_windows(segs, (rank.reshape(-1).astype(np.int64) << 40) + start)]
-        if hit:
-            k, a, b = np.array(hit, np.int64).T
-            yield _columns("doc_id uid start stop", doc[k], uid[k], start[k] + a, start[k] + b + WINDOW)
-
-    def close():
-        nonlocal size
-        if len(group) > 1:
-            for seg, place in group.items():
-                shard.append((seg, *place))
-                size += len(seg) + 1
-        group.clear()
+            yield _columns(_GONE, gram, pa.array([s for _, s in found], pa.binary()), doc, uid, a, a, x.astype(np.int32), np.full(len(a), GRAM, np.int32))
 
-    for batch in batches:
-        gone = []
-        rows = zip(*(batch[c].to_pylist() for c in ("gram", "segment", "doc_id", "uid", "start", "stop")))
-        for gram, seg, doc, uid, start, stop in rows:
-            if seg is None:
-                gone.append((doc, uid, start, stop))
-                continue
-            if gram != gram_now:
-                close()
-                gram_now = gram
-                if size >= SHARD:
+    def run(batches):
+        hot_now = hot.value
+        for batch in batches:
+            rows, n = [], 0
+            for doc, uid, text, pos, gram in zip(batch["doc_id"].to_pylist(), batch["uid"].to_pylist(), batch["bytes"], batch["pos"], batch["gram"]):
+                rows.append((doc, uid, text.as_py(), pos.values.to_numpy(), gram.values.to_numpy()))
+                n += len(rows[-1][2])
+                if n >= MOVE:
+                    yield from moved(rows, hot_now)
+                    rows, n = [], 0
+            yield from moved(rows, hot_now)
+
+    return run
+
+
+def _halves(seg: bytes, x: int, size: int):
+    """A segment whose windows all hold the bytes x to x + size, as up to two with a longer anchor: (key, first byte,
+    bytes, anchor's offset, anchor's size)."""
+    half = (WINDOW - size + 1) // 2
+    # windows start at 0 to len(seg) - WINDOW; those that start `half` or more before the anchor hold as much before it
+    for low, high, at, side in ((0, x - half, x - half, b"l"), (max(0, x - half + 1), len(seg) - WINDOW, x, b"r")):
+        high = min(high, len(seg) - WINDOW)
+        if low <= high:
+            key = int.from_bytes(hashlib.blake2b(seg[at : at + size + half], digest_size=8, key=side).digest(), "little", signed=True)
+            yield key, low, seg[low : high + WINDOW], at - low, size + half
+
+
+def _cut_repeats(shard_bytes: int):
+    """Moved segments in order of their grams, to the ranges that go, and to segments with longer anchors where a gram
+    has more than shard_bytes of different ones. Equal segments are one text with many places."""
+
+    def run(batches):
+        shard: list = []  # (segment, doc, uid, start) of the earliest place of texts that share a gram with another
+        group, size, group_size, gram_now, spill = {}, 0, 0, None, False
+
+        def shards():
+            segs = [s for s, *_ in shard]
+            doc, uid, start = (np.array(x, np.int64) for x in zip(*(r[1:] for r in shard)))
+            _, rank = np.unique(np.stack((doc, uid), axis=1), axis=0, return_inverse=True)
+            hit = [(k, a, b) for k, a, b in repeated_windows(segs, (rank.reshape(-1).astype(np.int64) << 40) + start)]
+            if hit:
+                k, a, b = np.array(hit, np.int64).T
+                yield from ranges(zip(doc[k].tolist(), uid[k].tolist(), (start[k] + a).tolist(), (start[k] + b + WINDOW).tolist()))
+
+        def ranges(gone):
+            doc, uid, a, b = np.array(list(gone), np.int64).T
+            none = pa.nulls(len(a), pa.int32())
+            yield _columns(_GONE, pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary()), doc, uid, a, b, none, none)
+
+        def passed_on(rows):
+            """rows (segment, doc, uid, start, anchor, size) to be met again under longer anchors."""
+            out = [(key, part, doc, uid, start + low, start + low, at, n) for seg, doc, uid, start, x, size in rows for key, low, part, at, n in _halves(seg, x, size)]
+            for k in range(0, len(out), 20_000):
+                cols = list(zip(*out[k : k + 20_000]))
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield _columns(_GONE, *(pa.array(c, t) for c, t in zip(cols, kinds)))
+
+        def close():
+            nonlocal size, group_size, spill
+            if len(group) > 1:
+                if size and size + group_size > shard_bytes:
                     yield from shards()
                     shard.clear()
                     size = 0
-            place = (doc, uid, start)
-            had = group.get(seg)
-            if had is None:
-                group[seg] = place
-            else:
-                late = max(had, place)
-                group[seg] = min(had, place)
-                gone.append((late[0], late[1], late[2], late[2] + len(seg)))
-        if gone:
-            yield _columns("doc_id uid start stop", *np.array(gone, np.int64).T)
-    close()
-    if shard:
-        yield from shards()
+                shard.extend((seg, *place[:3]) for seg, place in group.items())
+                size += group_size
+            group.clear()
+            group_size, spill = 0, False
+
+        for batch in batches:
+            gone, more = [], []
+            rows = zip(*(batch[c].to_pylist() for c in _GONE.split()))
+            for gram, seg, doc, uid, start, stop, x, length in rows:
+                if seg is None:
+                    gone.append((doc, uid, start, stop))
+                    continue
+                if gram != gram_now:
+                    yield from close()
+                    gram_now = gram
+                if spill:
+                    more.append((seg, doc, uid, start, x, length))
+                    continue
+                place = (doc, uid, start, x, length)
+                had = group.get(seg)
+                if had is None:
+                    group[seg] = place
+                    group_size += len(seg) + 1
+                else:
+                    late = max(had, place)
+                    group[seg] = min(had, place)
+                    gone.append((late[0], late[1], late[2], late[2] + len(seg)))
+                if group_size > shard_bytes and len(group) > 1 and length < WINDOW:
+                    more += [(s, *p) for s, p in group.items()]
+                    group.clear()
+                    spill, group_size = True, 0
+            if gone:
+                yield from ranges(gone)
+            if more:
+                yield from passed_on(more)
+        yield from close()
+        if shard:
+            yield from shards()
+
+    return run
 
 
 def _spans(starts, stops):
@@ -421,23 +523,33 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, carry: tuple[str, ...] = (
     and, unmerged, the byte ranges that repeat.
 
     Rows that repeat an id, and rows without one, are documents of their own: they are ordered by id (null first), then
-    in the order of a table kept for the purpose. Null texts are empty. Texts are shuffled once, by document: both joins
-    read the same columns of it, so that Spark reuses the exchange."""
-    rows, ids = numbered(docs, "doc_id", scratch)
+    in the order of a table kept for the purpose. Null texts are empty, and have no ranges, like texts below 100 bytes;
+    very long texts are hashed in pieces that overlap by a window; an empty table gives an empty one. Texts are shuffled
+    once, by document: both joins read the same columns of it, so that Spark reuses the exchange."""
+    spark = docs.sparkSession
+    rows, ids, number = numbered(docs, "doc_id", scratch)
     ids = ["doc_id", "uid"][: len(ids)]
     rest = [F.struct(*carry).alias("rest")] if carry else []
     rows = rows.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(UID).alias("uid"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"), *rest
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(number).alias("uid"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"), *rest
     )
     texts = rows.columns
     buckets = 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grams = rows.where(F.octet_length("bytes") >= WINDOW).select("doc_id", "uid", "bytes").mapInArrow(_send_grams(buckets), _SENT)
-    marked = grams.repartition("bucket").mapInArrow(_mark_repeated, _MARKED)
-    marked = marked.unionByName(_later_copies(rows))
+    marked = grams.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_mark_repeated, _MARKED)
+    marked = scratch.keep(marked.unionByName(_later_copies(rows)), "marked")
+    counts = marked.where("pos >= 0").groupBy("gram").count().where(F.col("count") > max(HOT, marked.count() // MOST_HOT))
+    hot = spark.sparkContext.broadcast(np.sort(np.array([r["gram"] for r in counts.select("gram").collect()], np.int64).view(np.uint64)))  # MOST_HOT at most
     lists = marked.groupBy(*ids).agg(F.collect_list("pos").alias("pos"), F.collect_list("gram").alias("gram"))
-    moved = rows.join(lists.hint("shuffle_hash"), ids).select(*texts, "pos", "gram").mapInArrow(_move_segments, _MOVED)
-    cuts = moved.repartition("gram").sortWithinPartitions("gram").mapInArrow(_cut_repeats, _CUTS)
-    spans = cuts.groupBy(*ids).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    moved = rows.join(lists.hint("shuffle_hash"), ids).select(*texts, "pos", "gram").mapInArrow(_move_segments(hot), _MOVED)
+    cuts = None
+    for level in range(8):  # an anchor takes 7 halvings to grow to a window, and equal windows are one segment
+        here = scratch.keep(moved.repartition("gram").sortWithinPartitions("gram").mapInArrow(_cut_repeats(SHARD), _MOVED), f"cuts-{level}")
+        cuts = here if cuts is None else cuts.unionByName(here)
+        moved = here.where("segment is not null")
+        if moved.isEmpty():
+            break
+    spans = cuts.where("segment is null").groupBy(*ids).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     out = rows.join(spans.hint("shuffle_hash"), ids, "left").withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
     return out.select("doc_id", "bytes", "starts", "stops", *(["rest"] if carry else []))
 

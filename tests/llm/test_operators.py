@@ -1,9 +1,11 @@
 """The ten operators against brute force on small tables, and their SQL where there is one."""
 
 import hashlib
+import itertools
 import random
 import re
 import string
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -13,7 +15,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from quarrymill.llm import bpe, chat, cover_tree, mixing, near_copies, quality, queries, sharding, simhash, suffix, topk, toxicity
+from quarrymill.llm import bpe, chat, cover_tree, mixing, near_copies, quality, queries, sharding, simhash, suffix, topk, toxicity, training
 from quarrymill.llm.scratch import Scratch
 
 from compare import database, rows_of, rows_of_sql
@@ -143,8 +145,9 @@ def test_simhash_large_cells_overflow_into_blocks(monkeypatch):
 def test_simhash_keeps_one_of_each_group(spark, odd_docs):
     kept = simhash.keep_one(odd_docs, Scratch(spark, "t"))
     assert kept.columns == odd_docs.columns
-    ids = [r["doc_id"] for r in kept.where("doc_id is not null").collect()]
-    assert len(ids) == len(set(ids)) and 3 in ids and 1 in ids and 2 not in ids
+    rows = [(r["doc_id"], r["text"]) for r in kept.where("doc_id is not null").collect()]
+    ids = [i for i, _ in rows]
+    assert len(rows) == len(set(rows)) and sorted(t for i, t in rows if i == 3)[0] == "other" and ids.count(3) == 2 and 1 in ids and 2 not in ids
 
 
 def test_simhash_drops_near_copies_only(spark):
@@ -158,11 +161,11 @@ def test_simhash_drops_near_copies_only(spark):
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(2, a), (5, b), (5, c), (None, d), (9, e)])
 
 
-@pytest.mark.parametrize("pairs", [0, 2])
-def test_near_copies_equal_brute_force(spark, monkeypatch, pairs):
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_near_copies_equal_brute_force(spark, monkeypatch, rounds):
     """Texts with some words replaced, most of them too different for 4 bits of 64: the groups of all pairs of likeness
     0.8 or more."""
-    monkeypatch.setattr(near_copies, "PAIRS", pairs)
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
     rng = random.Random(6)
     words = ["w" + str(k) for k in range(400)]
     texts = ["", "one", "One ", "a b c d", "a b c d e f"]
@@ -198,6 +201,64 @@ def test_suffix_array_and_windows():
         assert suffix.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t.tolist()[i:])
 
 
+def test_suffix_array_of_many_symbols_and_deep_recursion():
+    rng = np.random.default_rng(1)
+    for t in (rng.integers(1, 2000, 3000), np.tile(rng.integers(1, 5, 40), 30), np.ones(500, int), np.tile([1, 2], 300)):
+        t = np.append(t, 0)
+        assert suffix.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t.tolist()[i:])
+
+
+def test_suffix_halves_cover_every_window():
+    rng = random.Random(5)
+    seg = bytes(rng.choice(b"abcd") for _ in range(168))
+    todo, seen = [(seg, 0, 68, 32)], set()
+    while todo:
+        part, start, x, size = todo.pop()
+        assert part == seg[start : start + len(part)]
+        if size == 100:
+            assert x == 0 and len(part) == 100
+            seen.add(start)
+            continue
+        for _, low, more, at, n in suffix._halves(part, x, size):
+            assert 0 <= at and at + n <= 100 + len(more) - 100 and all(s <= at and s + 100 >= at + n for s in range(len(more) - 99))
+            todo.append((more, start + low, at, n))
+    assert seen == set(range(69))
+
+
+@pytest.mark.parametrize("bound", [{}, {"SHARD": 400}, {"HOT": 2}, {"SHARD": 400, "HOT": 2}])
+def test_suffix_dedup_of_one_gram_with_many_segments(spark, monkeypatch, bound):
+    """One line in all documents with other text around it, and some shared text across its ends."""
+    for name, value in bound.items():
+        monkeypatch.setattr(suffix, name, value)
+    rng = random.Random(7)
+    line = "".join(rng.choice(string.ascii_letters) for _ in range(140))
+    tails = ["".join(rng.choice(string.ascii_letters) for _ in range(80)) for _ in range(4)]
+    rows = [(k, "".join(rng.choice(string.ascii_letters) for _ in range(rng.randint(0, 90))) + rng.choice(tails)[-rng.randint(1, 80) :] + line + rng.choice(tails)[: rng.randint(1, 80)] + str(k)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix.digests(suffix.repeated_spans(docs, Scratch(spark, "t"))).collect()
+    assert sorted(map(tuple, got)) == brute_cut(rows)
+
+
+def test_suffix_holds_no_gram_whole():
+    """200,000 different segments of one gram: what a task holds stays small, and no segment is lost."""
+    import pyarrow as pa
+
+    gram, n = bytes(range(32, 64)), 200_000
+    names = suffix._GONE.split()
+
+    def batches():
+        for at in range(0, n, 10_000):
+            k = range(at, at + 10_000)
+            cols = ([1] * 10_000, [b"%068d" % i + gram + b"%068d" % i for i in k], list(k), [0] * 10_000, [0] * 10_000, [0] * 10_000, [68] * 10_000, [32] * 10_000)
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
+
+    tracemalloc.start()
+    out = sum(b.num_rows for b in suffix._cut_repeats(1 << 20)(batches()))
+    assert out == 2 * n and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
 def brute_cut(rows):
     """Of rows (id, text) in order: what suffix dedup leaves, as (id, bytes, removed, spans, digest)."""
     seen, out = set(), []
@@ -350,11 +411,52 @@ def test_shards_fit_and_hot_keys_split(spark):
     assert sharding.shard(empty(rows), "key", "size", 1000, Scratch(spark, "t")).collect() == []
 
 
-def test_fill_stops_at_three_times():
-    target = mixing.fill({"a": 10, "b": 1000, None: 5}, {"a": 5.0, "b": 2.0, None: 1.0}, 1015)
+def test_targets_stop_at_three_times(spark):
+    own = spark.createDataFrame([("a", 10, 5.0), ("b", 1000, 2.0), (None, 5, 1.0)], "source string, words long, weight double")
+    target = {r["source"]: r["target"] for r in mixing.targets(own, 1015).collect()}
     assert target["a"] == 30 and target[None] == 15 and abs(sum(target.values()) - 1015) < 1e-9
 
 
+def test_places_are_in_order_of_code_points(spark):
+    names = ["b", "a", None, "\U0001f642", "\uffff", "Z", "aa"]
+    got = mixing.placed(spark.createDataFrame([(n,) for n in names], "source string").repartition(3), "source", Scratch(spark, "t"))
+    assert [r["source"] for r in sorted(got.collect(), key=lambda r: r["place"])] == ["Z", "a", "aa", "b", "\uffff", "\U0001f642", None]
+    assert sorted(r["place"] for r in got.collect()) == list(range(7))
+
+
+def test_flow_costs_the_least_of_all_largest_flows():
+    """Against every way to send whole words from each pattern to each of its sources."""
+    rng = random.Random(12)
+    patterns = [("a",), ("b",), ("a", "b"), ("b", "c")]
+    for _ in range(25):
+        capacity = {p: rng.randint(0, 2) for p in rng.sample(patterns, 3)}
+        quota = {s: float(rng.randint(0, 4)) for s in "abc"}
+        arcs = [(p, s) for p in capacity for s in p]
+        best = None
+        for flow in itertools.product(*(range(3 * capacity[p] + 1) for p, _ in arcs)):
+            by = dict(zip(arcs, flow))
+            used = {p: sum(v for (q, _), v in by.items() if q == p) for p in capacity}
+            if any(used[p] > 3 * capacity[p] for p in capacity) or any(sum(v for (_, t), v in by.items() if t == s) > quota[s] for s in quota):
+                continue
+            key = (-sum(flow), sum(least_cost(capacity[p], used[p]) for p in capacity))
+            best = key if best is None else min(best, key)
+        flow = mixing.cheapest_flow(capacity, quota)
+        used = {p: sum(v for (q, _), v in flow.items() if q == p) for p in capacity}
+        assert abs(sum(flow.values()) + best[0]) < 1e-6 and abs(sum(least_cost(capacity[p], used[p]) for p in capacity) - best[1]) < 1e-6
+
+
+def least_cost(words, used):
+    return sum(c * min(words, max(0.0, used - k * words)) for k, c in enumerate(mixing.REPEAT_COST))
+
+
+def test_overlapping_sources_are_solved_together(spark):
+    docs = spark.createDataFrame([(k, 10, s) for k, s in enumerate([["a"], ["a", "b"], ["b"], ["c"], [None], [None, "d"], [], None] * 20)], "doc_id long, size long, sources array<string>")
+    got = mixing.mix(docs, "doc_id", "sources", "size", Scratch(spark, "t")).collect()
+    assert len(got) == 160 and all(r["taken"] == 0 for r in got if not r["sources"])
+    assert all(r["taken"] % 10 == 0 and r["taken"] <= 30 for r in got)
+    assert abs(sum(r["taken"] for r in got) - 1200) <= 40
+
+
 def test_flow_serves_overlapping_sources_cheaply():
     capacity = {("a",): 10, ("a", "b"): 10, ("b",): 10}
     flow = mixing.cheapest_flow(capacity, {"a": 20.0, "b": 10.0})
@@ -412,14 +514,54 @@ def test_quality_learns(spark):
     assert df.select(quality.score(spark, F.col("text"), none).alias("p")).first()["p"] == 0.5
 
 
+def test_ftrl_equals_a_plain_loop():
+    """The updates, one feature at a time, of follow-the-regularised-leader."""
+    rng = np.random.default_rng(3)
+    rows = [(np.unique(rng.integers(0, 50, 8)), None, int(rng.integers(0, 2))) for _ in range(40)]
+    rows = [(at, rng.random(len(at)) * 3, y) for at, _, y in rows]
+    z, n, bias, bias_n = Counter(), Counter(), 0.1, 0.0
+    a, b, l1, l2 = quality.ALPHA, quality.BETA, quality.L1, quality.L2
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((b + n[i] ** 0.5) / a + l2)
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for k in order.permutation(len(rows)):
+            at, x, y = rows[k]
+            w = {i: weight(i) for i in at}
+            slope = 1 / (1 + np.exp(-(bias + sum(w[i] * v for i, v in zip(at, x))))) - y
+            for i, v in zip(at, x):
+                g = slope * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / a * w[i]
+                n[i] += g * g
+            bias_n += slope * slope
+            bias -= 0.1 * slope / (1 + bias_n) ** 0.5
+    got = quality.train(rows, 0.1, 2)
+    assert np.allclose(got[:50], [weight(i) for i in range(50)], atol=1e-5) and np.isclose(got[-1], bias, atol=1e-5)
+
+
+def test_grams_hash_words_and_word_pairs():
+    grams = quality.Grams()
+    one, two, both = (set(grams.indices(t).tolist()) for t in ("alpha", "beta", "alpha beta"))
+    assert len(both - one - two) >= 1 and one | two <= both | one
+    assert set(grams.indices("beta alpha").tolist()) != both
+
+
+def test_sample_is_bounded_and_repeats_no_id(spark):
+    docs = spark.createDataFrame([(1, "x" * (k % 5)) for k in range(500)] + [(k, "t") for k in range(2, 30)] + [(None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(30)] + [(1, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    got = training.labelled_sample(docs, labels, "toxic", 4, 2, 10, Scratch(spark, "t")).collect()
+    assert 0 < len(got) <= 10
+    every = training.labelled_sample(docs, labels, "toxic", 4, 2, 1000, Scratch(spark, "t")).count()
+    assert every == docs.where("doc_id is not null").select("doc_id").distinct().where(training.fold(F.col("doc_id"), 4) != 2).count()
+
+
 def test_toxicity_learns_terms_and_misspellings(spark):
     df = corpus(spark)
-    model = toxicity.fit(df.where("doc_id % 3 > 0").select("text", F.col("toxic").alias("label")))
+    model = toxicity.fit(df.where("doc_id % 3 > 0").select("text", F.col("toxic").alias("label")), Scratch(spark, "t"))
     got = df.where("doc_id % 3 = 0").select("toxic", model.score(spark, F.col("text")).alias("p")).collect()
     assert sum((r["p"] >= 0.3) == bool(r["toxic"]) for r in got) / len(got) > 0.97
     odd = spark.createDataFrame([(None,), ("",), ("you blockhaed blockhea",)], "text string").select(model.score(spark, F.col("text")).alias("p")).collect()
     assert odd[0]["p"] == odd[1]["p"] < 0.3 and 0 <= odd[2]["p"] <= 1
-    assert toxicity.fit(df.where("false").select("text", F.col("toxic").alias("label"))).terms == []
+    assert toxicity.fit(df.where("false").select("text", F.col("toxic").alias("label")), Scratch(spark, "t")).terms == []
 
 
 def test_automaton_equals_edit_distance():
