@@ -17,7 +17,9 @@ from .scratch import Scratch
 
 K = 20
 #: Candidates and queries in a block; local cosine from which coordinates prune; coordinates that are tried.
-BLOCK, QUERY_BLOCK, COORDINATE_COSINE, FOCUS = 8192, 1024, 0.7, 4
+BLOCK, QUERY_BLOCK, COORDINATE_COSINE, FOCUS = 8192, 2048, 0.7, 4
+#: Buckets of length, whatever the number of rows, and tasks that the names of blocks are matched in.
+LEAST_BUCKETS, MOST_BUCKETS, LANES = 8, 256, 64
 _EXACT = 2.0**52  # products below this are exact in double precision
 
 
@@ -133,40 +135,46 @@ def top_k(rows: DataFrame, key: str, vector: str, is_query: Column, scratch: Scr
     """query_id, rank, vec_id, score of each query row's k highest integer products with all other rows.
 
     vector: array<long>. Rows with null or unusable vectors take no part; vectors of unlike dimension are not
-    compared; a row is never its own result, but rows that repeat a key can be results of one another. Products are
-    exact while they fit in 64 bits."""
+    compared; empty vectors take no part; a row is never its own result, but rows that repeat a key can be results of one another. Products are
+    exact while they fit in 64 bits. Ties go to the smaller key, then the earlier row; an empty table gives an empty
+    one."""
     good = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     good = scratch.keep(good.withColumns({"row": F.monotonically_increasing_id(), "dim": F.size("vector"), "norm": norm}), "rows")
-    spark = rows.sparkSession
     n = good.count()
-    cuts = sorted(set(good.approxQuantile("norm", [i / max(1, n // BLOCK) for i in range(1, n // BLOCK)], 0.001))) if n >= 2 * BLOCK else []
-    bucket = F.lit(len(cuts))  # 0 holds the longest
-    for i, cut in enumerate(cuts):
-        bucket = bucket - F.when(F.col("norm") > cut, 1).otherwise(0)
-    dealt = good.withColumn("bucket", bucket.cast("int"))
+    wanted = min(MOST_BUCKETS, max(LEAST_BUCKETS, n // BLOCK))
+    cuts = sorted(set(good.approxQuantile("norm", [i / wanted for i in range(1, wanted)], 0.001)))
+    longer = F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), lambda cut: cut >= F.col("norm"))
+    dealt = good.withColumn("bucket", F.size(longer))  # 0 holds the longest
     sizes = dealt.groupBy("dim", "bucket").agg(F.count("*").alias("n"))
     split = lambda df, of: df.join(sizes, ["dim", "bucket"]).withColumn("block", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / of)).cast("int"))
     blocks = scratch.keep(split(dealt, BLOCK).select("dim", "bucket", "block", "row", "id", "vector").groupBy("dim", "bucket", "block").applyInArrow(_pack, _BLOCK), "blocks")
     asking = dealt.where("asks").withColumn("bucket", F.lit(-1))
     sizes = asking.groupBy("dim", "bucket").agg(F.count("*").alias("n"))
-    queries = scratch.keep(split(asking, QUERY_BLOCK).select("dim", "bucket", "block", "row", "id", "vector").groupBy("dim", "bucket", "block").applyInArrow(_pack, _BLOCK), "queries")
-    c = blocks.select("dim", F.struct("*").alias("c"))
-    q = queries.select("dim", F.struct("*").alias("q"))
+    placed = scratch.keep(split(asking, QUERY_BLOCK).select("dim", "bucket", "block", "row", "id", "vector", "norm"), "asking")
+    queries = scratch.keep(placed.drop("norm").groupBy("dim", "bucket", "block").applyInArrow(_pack, _BLOCK), "queries")
+    c = blocks.select("dim", "bucket", F.col("block").alias("c_block"), F.struct("*").alias("c"))
+    q = queries.select("dim", F.col("block").alias("q_block"), F.struct("*").alias("q"))
+    # query blocks meet candidates' blocks by dimension, which may be one value: each is dealt to a lane, which has all of the other side's names
+    lanes = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1)))
+    lane = F.pmod(F.xxhash64("q_block"), F.lit(LANES)).cast("int").alias("lane")
 
     # first pass: every query block against the block with the longest candidates
-    longest = blocks.groupBy("dim").agg(F.max_by(F.struct("bucket", "block"), F.struct("longest", -F.col("bucket"), -F.col("block"))).alias("b"))
-    firsts = c.join(longest, "dim").where((F.col("c.bucket") == F.col("b.bucket")) & (F.col("c.block") == F.col("b.block"))).select("dim", "c")
+    longest = blocks.groupBy("dim").agg(F.max_by(F.struct("bucket", F.col("block").alias("c_block")), F.struct("longest", -F.col("bucket"), -F.col("block"))).alias("b"))
+    firsts = c.join(longest.select("dim", "b.*"), ["dim", "bucket", "c_block"]).select("dim", lanes.alias("lane"), "c")
     none = [F.lit(None).cast("array<long>").alias("least_row"), F.lit(None).cast("array<long>").alias("least")]
-    seen = scratch.keep(q.join(firsts, "dim").select("q", "c", *none).mapInArrow(_results(k), _FOUND), "first")
+    seen = scratch.keep(q.select("*", lane).join(firsts, ["dim", "lane"]).select("q", "c", *none).mapInArrow(_results(k), _FOUND), "first")
     least = seen.groupBy("q_row").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
-    homes = split(asking, QUERY_BLOCK).select("dim", "block", "row")
-    bounds = homes.join(least, homes["row"] == least["q_row"]).groupBy("dim", "block").agg(F.collect_list(F.struct("row", "least")).alias("l"))
-
-    # second pass: the stated queries, in blocks, against all blocks
-    home = F.col("q.block")
-    asked = q.withColumn("block", home).join(bounds, ["dim", "block"], "left").select("dim", "q", F.col("l.row").alias("least_row"), F.col("l.least").alias("least"))
-    pairs = asked.join(c, "dim").repartition("q.block", "c.bucket", "c.block").select("q", "c", "least_row", "least")
+    bounds = placed.select("dim", F.col("block").alias("q_block"), "row", "norm").join(least, F.col("row") == F.col("q_row"), "left")
+    need = F.min(F.when(F.col("least").isNotNull() & (F.col("norm") > 0), F.col("least") / F.col("norm")).otherwise(float("-inf")))
+    bounds = scratch.keep(bounds.groupBy("dim", "q_block").agg(need.alias("need"), F.collect_list(F.when(F.col("least").isNotNull(), F.struct("row", "least"))).alias("l")), "bounds")
+
+    # second pass: the stated queries, in blocks, against the blocks whose longest candidate can still suffice
+    names = blocks.select("dim", "bucket", F.col("block").alias("c_block"), "longest", lanes.alias("lane"))
+    meet = bounds.select("dim", "q_block", "need", lane).join(names, ["dim", "lane"]).where(F.col("longest") * (1 + 1e-9) >= F.col("need"))
+    asked = q.join(bounds, ["dim", "q_block"]).select("dim", "q_block", "q", F.col("l.row").alias("least_row"), F.col("l.least").alias("least"))
+    pairs = meet.select("dim", "q_block", "bucket", "c_block").join(asked, ["dim", "q_block"]).join(c, ["dim", "bucket", "c_block"])
+    pairs = pairs.repartition("dim", "q_block", "bucket", "c_block").select("q", "c", "least_row", "least")
     found = pairs.mapInArrow(_results(k), _FOUND)
     order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id", "c_row")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -27,4 +27,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, of: int, hel
     )
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = texts.join(F.broadcast(learnt), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    return scratch.keep(found.select("text", "label"), "sample")
+    parts = 2 * docs.sparkSession.sparkContext.defaultParallelism  # a small table, but its texts are worked on at length
+    return scratch.keep(found.select("text", "label").repartition(parts), "sample")
