@@ -8,27 +8,32 @@ from pyspark.sql import DataFrame
 DELIMITERS = ("\n\n", "\n", ". ", "? ", "! ")
 
 
-def chunk_spans(text: str, size: int = 1200, overlap: int = 200) -> list[tuple[int, int]]:
-    """Spans that end at the last delimiter beyond half the size; the next begins `overlap` before that end."""
-    overlap, at, out = min(overlap, size // 2), 0, []
-    while at < len(text):
-        end = min(len(text), at + size)
-        if end < len(text):
-            cut = max((text.rfind(d, at + size // 2, end) + len(d) for d in DELIMITERS if text.rfind(d, at + size // 2, end) >= 0), default=end)
-            end = max(cut, at + 1)
+def chunk_spans(body: str, size: int = 1200, overlap: int = 200) -> list[tuple[int, int]]:
+    """Spans of a stripped text that end behind the last delimiter beyond half the size, or at the size if there is
+    none; the next span begins `overlap` before that end. The least size is 32, an overlap is at most half the size."""
+    size, at, out = max(32, size), 0, []
+    overlap = max(0, min(overlap, size // 2))
+    while at < len(body):
+        piece, end = body[at : at + size], min(len(body), at + size)
+        if end < len(body):
+            places = [place + len(d) for d in DELIMITERS if (place := piece.rfind(d)) > 0]
+            end = at + max((p for p in places if p > size * 0.5), default=size)
+        if not body[at:end].strip():
+            break
         out.append((at, end))
-        if end >= len(text):
+        if end == len(body):
             break
-        at = max(end - overlap, at + 1)
+        at = end - overlap
     return out
 
 
 def chunks(docs: DataFrame, key: str, text: str, size: int = 1200, overlap: int = 200) -> DataFrame:
-    """key, chunk, start, stop, text of every chunk; null texts have none."""
+    """key, chunk, start, stop, text of every chunk; places count in the stripped text; null and blank texts have none."""
 
     def run(batches):
         for pdf in batches:
-            rows = [(k, n, a, b, t[a:b]) for k, t in zip(pdf[key], pdf[text]) if t for n, (a, b) in enumerate(chunk_spans(t, size, overlap))]
+            bodies = zip(pdf[key], (t.strip() if t else "" for t in pdf[text]))
+            rows = [(k, n, a, b, t[a:b].strip()) for k, t in bodies for n, (a, b) in enumerate(chunk_spans(t, size, overlap))]
             yield pd.DataFrame(rows, columns=[key, "chunk", "start", "stop", "text"])
 
     return docs.select(key, text).mapInPandas(run, f"{key} long, chunk int, start int, stop int, text string")

@@ -5,9 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Tracking parameters (dropped by prefix), boilerplate words, marks of sensitive text.
-TRACKING = ("utm_", "fbclid", "gclid", "mc_", "ref")
-BOILERPLATE = "cookie|subscribe|sign up|privacy policy|terms of service|all rights reserved|advertisement"
+#: Tracking parameters (dropped by prefix), signal terms, the words that boilerplate lines begin with.
+TRACKING = ("utm_", "fbclid", "gclid", "mc_", "ref", "igshid")
+SIGNAL_TERMS = (
+    "ai", "artificial intelligence", "machine learning", "deep learning", "neural", "transformer", "llm", "language model", "rag", "retrieval", "embedding",
+    "inference", "fine-tuning", "agent", "alignment", "safety",
+)
+BOILERPLATE = (
+    "cookie|privacy policy|all rights reserved", "sign in|log in|subscribe|newsletter", "share this|follow us|back to top", "advertisement|sponsored",
+)
+#: Kinds of units in the order in which they are tried, with the words that mark them.
+UNIT_WORDS = (
+    ("summary", "abstract|요약|summary"), ("method", "method|방법|approach"), ("result", "result|결과|finding|evaluation"), ("limitation", "limitation|한계"),
+    ("background", "background|배경|introduction|소개"),
+)
+#: White space as text splitting sees it, spelled so that every regular expression engine agrees; word ends likewise.
+SPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+BOILERPLATE_LINE = "(?i)^(" + "|".join(BOILERPLATE) + r")($|[^\p{L}\p{N}_])"
+QUALITY_TOKEN = r"[A-Za-z0-9가-힣][A-Za-z0-9가-힣\-_/]*"
+#: Marks of sensitive text.
 P0_PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
     ("phone_like", r"\b(?:\+?\d{1,3}[-\s]?)?(?:\(?\d{2,4}\)?[-\s]?)\d{3,4}[-\s]?\d{4}\b"),
@@ -17,23 +33,35 @@ P0_PATTERNS = (
 )
 
 
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host (https if there is none), no trailing slash, no fragment, parameters sorted and
-    without tracking ones."""
-    bare = F.regexp_replace(F.trim(url), "#.*$", "")
+    """Lower-case scheme and host, "/" for an empty path and else no trailing slash, no fragment; parameters decoded,
+    without blank and tracking ones, sorted and encoded again. A URL without a scheme begins with its host and is taken
+    for https; an empty one stays empty."""
+    bare = F.regexp_replace(strip(url), "#.*$", "")
     scheme = F.lower(F.coalesce(F.nullif(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1), F.lit("")), F.lit("https")))
     rest = F.regexp_replace(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.lower(F.regexp_extract(rest, r"^([^/?]*)", 1))
     path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), "/+$", "")
-    query = F.regexp_extract(rest, r"\?(.*)$", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike("^(" + "|".join(TRACKING) + ")")))
-    return F.concat(scheme, F.lit("://"), host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+    path = F.when(path == "", "/").otherwise(path)
+    pairs = F.filter(F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&"), lambda p: p.rlike("^[^=]*=."))
+    plain = lambda x: F.coalesce(F.try_url_decode(x), F.regexp_replace(x, r"\+", " "))
+    named = F.transform(pairs, lambda p: F.struct(plain(F.regexp_extract(p, "^([^=]*)=", 1)).alias("k"), plain(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")))
+    kept = F.array_sort(F.filter(named, lambda p: ~F.lower(p["k"]).rlike("^(" + "|".join(TRACKING) + ")")))
+    code = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(code(p["k"]), F.lit("="), code(p["v"]))), "&")
+    whole = F.concat(scheme, F.lit("://"), host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(strip(url) == "", "").otherwise(whole)
 
 
 def clean_text(text: Column) -> Column:
-    """Lines with white space collapsed, without very short and boilerplate ones, joined by blank lines."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\f]+", " ")))
-    return F.array_join(F.filter(lines, lambda x: (F.length(x) > 2) & ~F.lower(x).rlike(BOILERPLATE)), "\n\n")
+    """Lines with white space collapsed, without very short ones and those that begin like boilerplate, joined by blank
+    lines."""
+    lines = F.transform(F.split(text, "\r?\n"), lambda x: F.trim(F.regexp_replace(x, f"{SPACE}+", " ")))
+    return F.array_join(F.filter(lines, lambda x: (F.length(x) > 2) & ~x.rlike(BOILERPLATE_LINE)), "\n\n")
 
 
 def tokens(text: Column) -> Column:
@@ -45,15 +73,19 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def quality_parts(text: Column, threshold: float = 0.5, min_tokens: int = 40) -> dict[str, Column]:
-    """Length, variety, structure and noise of a text as one score, and whether it is approved."""
-    toks = tokens(text)
+def quality_parts(clean: Column, threshold: float = 0.5, min_tokens: int = 40) -> dict[str, Column]:
+    """Of a cleaned text: length, variety and signal terms as one score, whether it is approved, and what speaks against
+    it. Cleaning leaves no boilerplate line, so the share of noise is 0."""
+    low = F.lower(clean)
+    toks = F.regexp_extract_all(low, F.lit(QUALITY_TOKEN), 0)
     n = F.size(toks)
     unique = F.when(n > 0, F.size(F.array_distinct(toks)) / n).otherwise(0.0)
-    hits = F.regexp_count(text, F.lit(r"[.!?]\s"))
-    noise = F.when(F.length(text) > 0, F.regexp_count(text, F.lit(r"[^0-9A-Za-z\s.,;:!?'()-]")) / F.length(text)).otherwise(1.0)
-    score = 0.35 * F.least(F.lit(1.0), n / 500) + 0.25 * clamp((unique - 0.2) / 0.5) + 0.25 * F.least(F.lit(1.0), hits / 6) + 0.15 * (1 - F.least(F.lit(1.0), 1.5 * noise))
-    return {"n_tokens": n, "score": F.round(score, 6), "approved": (n >= min_tokens) & (F.round(score, 6) >= threshold)}
+    hits = sum((low.contains(t).cast("int") for t in SIGNAL_TERMS), F.lit(0))
+    score = F.round(0.35 * F.least(F.lit(1.0), n / 500) + 0.25 * clamp((unique - 0.2) / 0.5) + 0.25 * F.least(F.lit(1.0), hits / 6) + 0.15, 4)
+    approved = (n >= min_tokens) & (score >= threshold)
+    against = F.array_compact(F.array(F.when(n < min_tokens, "too_short"), F.when(hits == 0, "no_ai_signal"), F.when(unique < 0.28, "low_diversity")))
+    reasons = F.when(~approved & (F.size(against) == 0), "low_quality_score").otherwise(F.array_join(against, ","))
+    return {"n_tokens": n, "unique_ratio": F.round(unique, 4), "signal_hits": hits, "noise_ratio": F.lit(0.0), "score": score, "approved": approved, "reasons": reasons}
 
 
 def p0(text: Column) -> Column:
@@ -98,14 +130,15 @@ def importance(trust: Column, support: Column, degree: Column, density: Column)
     return clamp(0.30 * trust + 0.25 * F.least(F.lit(1.0), support / 8) + 0.25 * F.least(F.lit(1.0), degree / 12) + 0.20 * density)
 
 
-def unit_type(text: Column) -> Column:
-    """Ordered keyword rules on a unit's beginning."""
-    head = F.lower(F.substring(text, 1, 180))
-    rules = (("summary", "abstract|summary|overview"), ("method", "method|approach|algorithm"), ("result", "result|accuracy|score"), ("limitation", "limitation|however|license"), ("background", "background|related work"))
+def unit_type(text: Column, title: Column | None = None) -> Column:
+    """By the words of a unit's title and first 180 characters; then lists, tables of more than one line, sections."""
+    flat = strip(F.regexp_replace(text, f"{SPACE}+", " "))
+    head = F.when(F.length(flat) <= 180, flat).otherwise(F.substring(flat, 1, 177))
+    key = F.lower(F.concat_ws(" ", title, head) if title is not None else head)
     out = F.when(F.lit(False), "")
-    for name, pattern in rules:
-        out = out.when(head.rlike(pattern), name)
-    return out.when(head.rlike(r"(^|\n)\s*[-*]\s"), "list_block").when(head.rlike(r"\|.*\|"), "table_block").otherwise("section")
+    for name, words in UNIT_WORDS:
+        out = out.when(key.rlike(words), name)
+    return out.when(text.rlike(r"(?m)^\s*[-*]\s+"), "list_block").when(text.contains("|") & text.contains("\n"), "table_block").otherwise("section")
 
 
 def direction(text: Column) -> Column:

@@ -14,14 +14,17 @@ def url_canonicalize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical"))
 
 
-URL_SQL = r"""
-WITH b AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
-r AS (SELECT page_id, lower(coalesce(nullif(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1), ''), 'https')) AS scheme,
+URL_SQL = rf"""
+WITH b AS (SELECT page_id, regexp_replace(url, '^{T.SPACE}+|{T.SPACE}+$', '', 'g') AS stripped, regexp_replace(stripped, '#.*$', '') AS u FROM pages),
+r AS (SELECT page_id, stripped, lower(coalesce(nullif(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1), ''), 'https')) AS scheme,
   regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM b),
-q AS (SELECT page_id, scheme, lower(regexp_extract(rest, '^([^/?]*)', 1)) AS host,
-  regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
-  list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_|fbclid|gclid|mc_|ref)'))) AS kept FROM r)
-SELECT page_id, scheme || '://' || host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical FROM q
+q AS (SELECT page_id, stripped, scheme, lower(regexp_extract(rest, '^([^/?]*)', 1)) AS host,
+  coalesce(nullif(regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', ''), ''), '/') AS path,
+  list_sort(list_filter(list_transform(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: regexp_matches(p, '^[^=]*=.')),
+    lambda p: {{'k': url_decode(replace(regexp_extract(p, '^([^=]*)=', 1), '+', ' ')), 'v': url_decode(replace(regexp_extract(p, '^[^=]*=(.*)$', 1), '+', ' '))}}),
+    lambda p: NOT regexp_matches(lower(p.k), '^({"|".join(T.TRACKING)})'))) AS kept FROM r)
+SELECT page_id, CASE WHEN stripped = '' THEN '' ELSE scheme || '://' || host || path || CASE WHEN len(kept) > 0
+  THEN '?' || array_to_string(list_transform(kept, lambda p: replace(url_encode(p.k), '%20', '+') || '=' || replace(url_encode(p.v), '%20', '+')), '&') ELSE '' END END AS canonical FROM q
 """
 
 
@@ -52,37 +55,41 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.length(clean).cast("long").alias("chars"), F.md5(clean.cast("binary")).alias("clean_md5"))
 
 
-CLEAN_SQL = r"""
-WITH c AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f]+', ' ', 'g'), ' ')),
-  lambda x: length(x) > 2 AND NOT regexp_matches(lower(x), 'cookie|subscribe|sign up|privacy policy|terms of service|all rights reserved|advertisement')), chr(10) || chr(10)) AS c FROM documents)
-SELECT doc_id, length(c) AS chars, md5(c) AS clean_md5 FROM c
-"""
+def _clean(text: str) -> str:
+    return rf"""array_to_string(list_filter(list_transform(regexp_split_to_array({text}, '\r?\n'), lambda x: trim(regexp_replace(x, '{T.SPACE}+', ' ', 'g'), ' ')),
+  lambda x: length(x) > 2 AND NOT regexp_matches(x, '{T.BOILERPLATE_LINE}')), chr(10) || chr(10))"""
+
+
+CLEAN_SQL = f"WITH c AS (SELECT doc_id, {_clean('text')} AS c FROM documents) SELECT doc_id, length(c) AS chars, md5(c) AS clean_md5 FROM c"
 
 
 def assess_quality(spark: SparkSession, d: str) -> DataFrame:
-    parts = T.quality_parts(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in parts.items()])
+    parts = T.quality_parts(F.col("clean"))
+    docs = table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+    return docs.select("doc_id", *[c.alias(n) for n, c in parts.items()])
 
 
-_QUALITY = r"""
-t AS (SELECT doc_id, source, text, regexp_extract_all(lower(text), '[0-9a-z]+') AS toks FROM documents),
-p AS (SELECT doc_id, source, len(toks) AS n, CASE WHEN len(toks) > 0 THEN len(list_distinct(toks)) / len(toks) ELSE 0.0 END AS uniq,
-  len(regexp_extract_all(text, '[.!?]\s')) AS hits,
-  CASE WHEN length(text) > 0 THEN len(regexp_extract_all(text, '[^0-9A-Za-z\s.,;:!?''()-]')) / length(text) ELSE 1.0 END AS noise FROM t),
-q AS (SELECT doc_id, source, CAST(n AS INTEGER) AS n_tokens, round(0.35 * least(1.0, n / 500) + 0.25 * greatest(0.0, least(1.0, (uniq - 0.2) / 0.5)) + 0.25 * least(1.0, hits / 6) + 0.15 * (1 - least(1.0, 1.5 * noise)), 6) AS score FROM p)
+_QUALITY = rf"""
+t AS (SELECT doc_id, source, lower({_clean("text")}) AS low FROM documents),
+p AS (SELECT doc_id, source, low, regexp_extract_all(low, '{T.QUALITY_TOKEN}') AS toks, len(toks) AS n,
+  CASE WHEN n > 0 THEN len(list_distinct(toks)) / n ELSE 0.0 END AS uniq, {" + ".join(f"CAST(contains(low, '{t}') AS INT)" for t in T.SIGNAL_TERMS)} AS hits FROM t),
+q AS (SELECT doc_id, source, CAST(n AS INTEGER) AS n_tokens, round(uniq, 4) AS unique_ratio, hits AS signal_hits, 0.0::DOUBLE AS noise_ratio, uniq,
+  round(0.35 * least(1.0, n / 500) + 0.25 * greatest(0.0, least(1.0, (uniq - 0.2) / 0.5)) + 0.25 * least(1.0, hits / 6) + 0.15, 4)::DOUBLE AS score, n >= 40 AND score >= 0.5 AS approved FROM p)
 """
-QUALITY_SQL = f"WITH {_QUALITY} SELECT doc_id, n_tokens, score, n_tokens >= 40 AND score >= 0.5 AS approved FROM q"
+QUALITY_SQL = f"""WITH {_QUALITY}, r AS (SELECT *, concat_ws(',', CASE WHEN n_tokens < 40 THEN 'too_short' END, CASE WHEN signal_hits = 0 THEN 'no_ai_signal' END, CASE WHEN uniq < 0.28 THEN 'low_diversity' END) AS against FROM q)
+SELECT doc_id, n_tokens, unique_ratio, signal_hits, noise_ratio, score, approved, CASE WHEN NOT approved AND against = '' THEN 'low_quality_score' ELSE against END AS reasons FROM r"""
 
 
 def sample_gate(spark: SparkSession, d: str) -> DataFrame:
     """Of each source's 20 worst documents, the share that is approved; the gate asks for a half."""
-    scored = table(spark, d, "documents").select("doc_id", "source", *[c.alias(n) for n, c in T.quality_parts(F.col("text")).items()])
+    docs = table(spark, d, "documents").select("doc_id", "source", T.clean_text(F.col("text")).alias("clean"))
+    scored = docs.select("doc_id", "source", *[c.alias(n) for n, c in T.quality_parts(F.col("clean")).items() if n in ("score", "approved")])
     worst = scored.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("score", "doc_id"))).where("r <= 20")
     rate = F.round(F.avg(F.col("approved").cast("int")), 6)
     return worst.groupBy("source").agg(F.count("*").alias("n"), rate.alias("pass_rate"), (rate >= 0.5).alias("passed"))
 
 
-GATE_SQL = f"""WITH {_QUALITY}, w AS (SELECT *, CAST(n_tokens >= 40 AND score >= 0.5 AS INTEGER) AS ok FROM q QUALIFY row_number() OVER (PARTITION BY source ORDER BY score, doc_id) <= 20)
+GATE_SQL = f"""WITH {_QUALITY}, w AS (SELECT *, CAST(approved AS INTEGER) AS ok FROM q QUALIFY row_number() OVER (PARTITION BY source ORDER BY score, doc_id) <= 20)
 SELECT source, count(*) AS n, round(avg(ok), 6) AS pass_rate, round(avg(ok), 6) >= 0.5 AS passed FROM w GROUP BY source"""
 
 
@@ -147,16 +154,16 @@ SELECT source, word, CAST(n AS BIGINT) AS n, docs, CAST(row_number() OVER (PARTI
 
 def unit_types(spark: SparkSession, d: str) -> DataFrame:
     """Kinds of paragraphs in each language, with the direction their wording takes."""
-    units = table(spark, d, "documents").select("lang", F.explode(F.split("text", "\n")).alias("u"))
+    units = table(spark, d, "documents").select("lang", F.explode(F.split("text", "\n\n")).alias("u"))
     return units.groupBy("lang", T.unit_type(F.col("u")).alias("unit_type"), T.direction(F.col("u")).alias("direction")).agg(F.count("*").alias("n"))
 
 
-UNITS_SQL = r"""
-WITH u AS (SELECT lang, unnest(string_split(text, chr(10))) AS u FROM documents),
-h AS (SELECT lang, lower(substr(u, 1, 180)) AS h, lower(u) AS l FROM u)
-SELECT lang, CASE WHEN regexp_matches(h, 'abstract|summary|overview') THEN 'summary' WHEN regexp_matches(h, 'method|approach|algorithm') THEN 'method'
-  WHEN regexp_matches(h, 'result|accuracy|score') THEN 'result' WHEN regexp_matches(h, 'limitation|however|license') THEN 'limitation' WHEN regexp_matches(h, 'background|related work') THEN 'background'
-  WHEN regexp_matches(h, '(^|\n)\s*[-*]\s') THEN 'list_block' WHEN regexp_matches(h, '\|.*\|') THEN 'table_block' ELSE 'section' END AS unit_type,
+UNITS_SQL = rf"""
+WITH u AS (SELECT lang, unnest(string_split(text, chr(10) || chr(10))) AS u FROM documents),
+f AS (SELECT lang, u, lower(u) AS l, regexp_replace(regexp_replace(u, '{T.SPACE}+', ' ', 'g'), '^ +| +$', '', 'g') AS flat FROM u),
+h AS (SELECT lang, u, l, lower(CASE WHEN length(flat) <= 180 THEN flat ELSE substr(flat, 1, 177) END) AS h FROM f)
+SELECT lang, CASE {" ".join(f"WHEN regexp_matches(h, '{w}') THEN '{n}'" for n, w in T.UNIT_WORDS)}
+  WHEN regexp_matches(u, '(?m)^\s*[-*]\s+') THEN 'list_block' WHEN contains(u, '|') AND contains(u, chr(10)) THEN 'table_block' ELSE 'section' END AS unit_type,
   CASE WHEN regexp_matches(l, 'improv|outperform|better|higher') THEN 'better' WHEN regexp_matches(l, 'degrad|worse|lower|underperform') THEN 'worse'
   WHEN regexp_matches(l, 'same|no difference|comparable') THEN 'neutral' ELSE 'unknown' END AS direction, count(*) AS n FROM h GROUP BY ALL
 """
@@ -187,6 +194,18 @@ def chunk_offsets(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunks(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "chunk", "start", "stop", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+_BEHIND = "CASE WHEN strpos(reverse(p), reverse({d})) BETWEEN 1 AND len(p) - len({d}) THEN len(p) - strpos(reverse(p), reverse({d})) + 1 END"
+_ENDS = ", ".join(_BEHIND.format(d=d) for d in ("chr(10) || chr(10)", "chr(10)", "'. '", "'? '", "'! '"))
+_END = f"place + coalesce(list_max(list_filter([{_ENDS}], lambda x: x > 600)), 1200)"
+CHUNKS_SQL = rf"""
+WITH RECURSIVE b AS (SELECT doc_id, regexp_replace(text, '^{T.SPACE}+|{T.SPACE}+$', '', 'g') AS body FROM documents),
+c AS (SELECT doc_id, body, 0 AS chunk, CAST(0 AS BIGINT) AS place FROM b WHERE body <> ''
+  UNION ALL SELECT doc_id, body, chunk + 1, stop - 200 FROM (SELECT *, {_END} AS stop FROM (SELECT *, substr(body, place + 1, 1200) AS p FROM c)) WHERE place + 1200 < len(body)),
+e AS (SELECT *, CASE WHEN place + 1200 < len(body) THEN {_END} ELSE len(body) END AS stop FROM (SELECT *, substr(body, place + 1, 1200) AS p FROM c))
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(place AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, md5(regexp_replace(substr(body, place + 1, stop - place), '^{T.SPACE}+|{T.SPACE}+$', '', 'g')) AS text_md5 FROM e
+"""
+
+
 def episodes(spark: SparkSession, d: str) -> DataFrame:
     """Each conversation as one episode: opening and closing words and its size."""
     turns = table(spark, d, "conversations")
@@ -227,7 +246,7 @@ QUERIES = {
     "unit_types": (unit_types, UNITS_SQL),
     "metadata_quality": (metadata_quality, METADATA_SQL),
     "numeric_values": (numbers, NUMBERS_SQL),
-    "chunk_offsets": (chunk_offsets, None),
+    "chunk_offsets": (chunk_offsets, CHUNKS_SQL),
     "episode_build": (episodes, EPISODES_SQL),
     "benchmark_overlap": (benchmark_overlap, OVERLAP_SQL),
 }

@@ -14,7 +14,30 @@ def one(spark, column):
 
 def test_canonical_url(spark):
     assert one(spark, T.canonical_url(F.lit("HTTP://A.com/x/?utm_a=1&b=2&a=1#f"))) == "http://a.com/x?a=1&b=2"
-    assert one(spark, T.canonical_url(F.lit("a.com"))) == "https://a.com"
+    assert one(spark, T.canonical_url(F.lit("a.com"))) == "https://a.com/"
+    assert one(spark, T.canonical_url(F.lit("http://a.com"))) == "http://a.com/"
+    assert one(spark, T.canonical_url(F.lit("http://a.com/?igshid=1&b="))) == "http://a.com/"
+    assert one(spark, T.canonical_url(F.lit(" https://a.com//?q=a%20b+c&Q=%C3%A9~*&novalue"))) == "https://a.com/?Q=%C3%A9~%2A&q=a+b+c"
+    assert one(spark, T.canonical_url(F.lit("  "))) == ""
+
+
+def test_cleaning_drops_lines_that_begin_like_boilerplate(spark):
+    text = "Cookie settings\nWe never sell a cookie\r\n  sign in \n\n\nok\nsponsoredly  spoken\u00a0 words\nNewsletter"
+    assert one(spark, T.clean_text(F.lit(text))) == "We never sell a cookie\n\nsponsoredly spoken words"
+
+
+def test_quality_of_a_text_worked_out_by_hand(spark):
+    text = "\n".join(["Agent safety rag words"] * 10 + ["cookie notice"])  # 40 tokens, 4 different, 3 signal terms ("ai" is in none)
+    parts = T.quality_parts(T.clean_text(F.lit(text)))
+    got = spark.range(1).select(*[c.alias(n) for n, c in parts.items()]).first()
+    assert (got["n_tokens"], got["unique_ratio"], got["signal_hits"], got["noise_ratio"]) == (40, 0.1, 3, 0.0)
+    assert got["score"] == 0.303 and not got["approved"] and got["reasons"] == "low_diversity"
+
+
+def test_unit_types_by_words_then_shape(spark):
+    for text, kind in (("Our approach", "method"), ("Evaluation of it", "result"), ("An overview", "section"), ("x\n - item", "list_block"), ("a|b\nc|d", "table_block"), ("a|b", "section"), ("x" * 178 + " abstract", "section")):
+        assert one(spark, T.unit_type(F.lit(text))) == kind
+    assert one(spark, T.unit_type(F.lit("x"), F.lit("요약"))) == "summary"
 
 
 def test_text_levels(spark):
