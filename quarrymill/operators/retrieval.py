@@ -10,30 +10,51 @@ from pyspark.sql import functions as F
 from ..functions.text import clamp, tokens
 
 K1, B = 1.2, 0.75
-#: Blocks that queries and vectors are packed into.
-QUERY_BLOCKS, VECTOR_BLOCKS = 8, 64
+#: Vectors in a block, and tasks that the names of blocks are matched in.
+BLOCK, LANES = 4096, 32
+
+
+def rare_words(docs: DataFrame, key: str, text: str, asks: Column, k: int = 3) -> DataFrame:
+    """(query_id, terms) of the rows that ask: their k rarest words that another row has too, ties in code point order."""
+    words = docs.select(key, asks.alias("asks"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("word"))
+    df = words.groupBy("word").agg(F.count("*").alias("df"), F.max("asks").alias("asked")).where("asked and df > 1").select("word", "df")
+    ranked = top(words.where("asks").join(df, "word"), [key], ["df", "word"], k)
+    return ranked.groupBy(F.col(key).alias("query_id")).agg(F.array_sort(F.collect_list("word")).alias("terms"))
+
+
+def postings(docs: DataFrame, key: str, text: str, queries: DataFrame) -> DataFrame:
+    """(word, key, len, tf) of the words that queries (query_id, terms) hold: words are matched before they are counted
+    and shuffled, and a document's length travels with its postings."""
+    base = docs.select(key, tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("len"), F.explode("w").alias("word"))
+    wanted = queries.select(F.explode("terms").alias("word")).distinct()
+    return base.join(wanted, "word", "left_semi").groupBy("word", key, "len").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame) -> DataFrame:
     """query_id, key, score of documents that hold all words of a query.
 
-    queries: (query_id, terms array). Only postings of query words leave the scan: words are matched before the
-    shuffle, and a document's length travels with its postings."""
-    words = tokens(F.col(text))
-    base = docs.select(key, words.alias("w")).withColumn("len", F.size("w"))
-    stats = base.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    queries: (query_id, terms array). Queries meet documents by word, so that no document is scored that lacks all of a
+    query's words; which side of a join is sent to every task is left to its size."""
+    stats = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.col(text)))).alias("avg_len"))
     wanted = queries.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("word"))
-    vocabulary = wanted.select("word").distinct()
-    posted = base.select(key, "len", F.explode("w").alias("word")).join(F.broadcast(vocabulary), "word", "left_semi")  # the words of the stated queries
-    tf = posted.groupBy("word", key, "len").agg(F.count("*").alias("tf"))
+    tf = postings(docs, key, text, queries)
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = tf.join(F.broadcast(df), "word").crossJoin(F.broadcast(stats)).withColumn("part", part)  # stats is one row, df a row for each query word
-    hits = scored.join(F.broadcast(wanted), "word").groupBy("query_id", key, "n_terms").agg(F.count("*").alias("found"), F.sum("part").alias("score"))
+    scored = tf.join(df, "word").crossJoin(F.broadcast(stats)).select("word", key, part.alias("part"))  # stats is one row
+    hits = scored.join(wanted, "word").groupBy("query_id", key, "n_terms").agg(F.count("*").alias("found"), F.sum("part").alias("score"))
     return hits.where("found = n_terms").select("query_id", key, F.round("score", 6).alias("score"))
 
 
+def linear(docs: DataFrame, key: str, text: str, queries: DataFrame) -> DataFrame:
+    """query_id, key, score by share of words matched, whole phrase and density, of documents with any of the words."""
+    wanted = queries.select("query_id", "terms", F.explode("terms").alias("word"))
+    met = postings(docs, key, text, queries).join(wanted, "word").groupBy("query_id", key, "terms").agg(F.count("*").alias("found"), F.sum("tf").alias("n"), F.max("len").alias("len"))
+    phrase = F.lower(text).contains(F.array_join("terms", " ")).cast("int")
+    score = 0.58 * F.col("found") / F.size("terms") + 0.24 * F.coalesce(phrase, F.lit(0)) + 0.18 * F.least(F.lit(1.0), 10 * F.col("n") / F.col("len"))
+    return met.join(docs.select(key, text), key).select("query_id", key, F.round(F.greatest(F.lit(0.05), score), 6).alias("score"))
+
+
 def min_max(rows: DataFrame, by: str, value: str, out: str) -> DataFrame:
     """(x - min) / (max - min) within `by`; 1 where all are equal and positive."""
     lows = rows.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
@@ -45,33 +66,59 @@ def top(rows: DataFrame, by: list[str], order: list, k: int, rank: str = "rank")
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def best(rows: DataFrame, order: list, k: int) -> DataFrame:
+    """The k first rows of the whole table, with their rank: each task keeps k, and only these are ranked together."""
+    few = rows.orderBy(*order).limit(k)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+
+
+def _packed(rows: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    """Blocks of about BLOCK vectors of one dimension: (dim, name, name_ids, name_x), numbers as bytes."""
+
+    def pack(group, table):
+        x = np.ascontiguousarray(table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64)
+        ids = table["i"].to_numpy().astype(np.int64)
+        return pa.table({"dim": pa.array([group[0].as_py()], pa.int32()), name: pa.array([group[1].as_py()], pa.int64()), f"{name}_ids": pa.array([ids.tobytes()], pa.binary()), f"{name}_x": pa.array([x.tobytes()], pa.binary())})
+
+    good = rows.select(F.col(key).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where(F.col("i").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
+    sizes = good.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = good.withColumn("dim", F.size("v")).join(sizes, "dim").withColumn(name, F.pmod(F.xxhash64("i"), "blocks"))
+    return dealt.groupBy("dim", name).applyInArrow(pack, f"dim int, {name} long, {name}_ids binary, {name}_x binary")
+
+
 def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
-    """query_id, key, similarity, rank: cosine top-k of a stated query set against all rows, itself left out.
+    """query_id, key, similarity, rank: cosine top-k of a stated query set against all rows, itself left out. Null
+    vectors and vectors with null components take no part, zero vectors have a cosine of 0, and vectors of unlike
+    dimension are not compared.
 
-    Queries (query_id, vector) and vectors are packed into blocks; each pair of blocks keeps k results of each query, so
-    that what is shuffled grows with the queries and blocks only. Raise both numbers of blocks with the tables."""
-    block = F.pmod(F.xxhash64("query_id"), F.lit(QUERY_BLOCKS))
-    packed = queries.withColumn("b", block).groupBy("b").agg(F.collect_list(F.struct(F.col("query_id").alias("i"), F.col("vector").alias("v"))).alias("q")).select("q")
+    Queries (query_id, vector) and vectors are packed into blocks of bounded size; each pair of blocks keeps k results
+    of each query, so that what is shuffled grows with the queries and blocks only. Blocks are paired by name in LANES
+    tasks, as all may have one dimension, and their vectors are joined to the pairs afterwards."""
+    unit = lambda raw, dim: (x := np.frombuffer(raw, np.float64).reshape(-1, dim)) / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)[:, None]
 
     def run(batches):
         for batch in batches:
-            unit = lambda x: x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)[:, None]
-            rows = batch["rows"].to_pylist()
-            for at, members in enumerate(rows):
-                q = batch["q"][at].as_py()
-                qi, qv = np.array([x["i"] for x in q]), unit(np.array([x["v"] for x in q], float))
-                ci, cv = np.array([x["i"] for x in members]), unit(np.array([x["v"] for x in members], float))
-                sims = np.round(qv @ cv.T, 6)
-                out = []
-                for r, mine in enumerate(sims):
-                    ok = np.flatnonzero((ci != qi[r]) & (mine >= least))
-                    ok = ok[np.lexsort((ci[ok], -mine[ok]))][:k]
-                    out += [(qi[r], c, s) for c, s in zip(ci[ok], mine[ok])]
-                a, b, s = zip(*out) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["query_id", key, "similarity"])
-
-    members = vectors.withColumn("p", F.pmod(F.xxhash64(key), F.lit(VECTOR_BLOCKS))).groupBy("p").agg(F.collect_list(F.struct(F.col(key).alias("i"), F.col(vector).alias("v"))).alias("rows")).select("rows")
-    found = members.crossJoin(packed).mapInArrow(run, f"query_id long, {key} long, similarity double")
+            for at in range(batch.num_rows):
+                row = {c: batch[c][at].as_py() for c in batch.schema.names}
+                qi, ci = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
+                qv, cv = unit(row["q_x"], row["dim"]), unit(row["c_x"], row["dim"])
+                a, b, s = [], [], []
+                for from_ in range(0, len(qi), 512):
+                    sims = np.round(qv[from_ : from_ + 512] @ cv.T, 6)
+                    for r, mine in enumerate(sims, from_):
+                        ok = np.flatnonzero((ci != qi[r]) & (mine >= least))
+                        if len(ok) > k:
+                            ok = ok[mine[ok] >= np.partition(mine[ok], len(ok) - k)[len(ok) - k]]
+                        ok = ok[np.lexsort((ci[ok], -mine[ok]))][:k]
+                        a.append(np.full(len(ok), qi[r]))
+                        b.append(ci[ok])
+                        s.append(mine[ok])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, s)], names=["query_id", key, "similarity"])
+
+    q, c = _packed(queries, "query_id", "vector", "q"), _packed(vectors, key, vector, "c")
+    lanes = c.select("dim", "c", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"))
+    pairs = q.select("dim", "q", F.pmod("q", F.lit(LANES)).cast("int").alias("lane")).join(lanes, ["dim", "lane"]).select("dim", "q", "c")
+    found = pairs.join(q, ["dim", "q"]).join(c, ["dim", "c"]).mapInArrow(run, f"query_id long, {key} long, similarity double")
     return top(found, ["query_id"], [F.desc("similarity"), key], k)
 
 
@@ -82,7 +129,7 @@ def fuse(lexical: DataFrame, semantic: DataFrame, key: str, alpha: float = 0.7)
     lex, sem = F.coalesce("lex", F.lit(0.0)), F.coalesce("sem", F.lit(0.0))
     mixed = alpha * sem + (1 - alpha) * lex
     rescued = F.when((sem == 0) & (lex > 0), F.greatest(mixed, 0.82 * lex, 0.84 - 0.04 * (F.col("lex_rank") - 1))).otherwise(mixed)
-    return both.select("query_id", key, F.round(lex, 6).alias("lex"), F.round(sem, 6).alias("sem"), F.round(clamp(rescued), 6).alias("score"))
+    return both.select("query_id", key, F.round(lex, 6).alias("lex"), F.round(sem, 6).alias("sem"), F.round(clamp(rescued) + 1e-9, 6).alias("score"))  # 0.7 of six digits often ends in a 5, which doubles round either way
 
 
 def duplicate_parent_penalty(rows: DataFrame, by: str, parent: str, score: str, key: str) -> DataFrame:

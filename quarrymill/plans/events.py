@@ -11,16 +11,20 @@ from ..sources.tables import sequenced, table
 from ..streaming.events import once, windowed_counts
 
 
+KINDS = ("click", "error", "purchase", "signup", "view")
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").withColumn("day", F.to_date("ts"))
 
 
 def daily_activity(spark: SparkSession, d: str) -> DataFrame:
-    by = _events(spark, d).groupBy("day").pivot("event_type", ["click", "error", "purchase", "signup", "view"]).agg(F.count(F.lit(1)))
-    return by.na.fill(0)
+    """Events of each day by kind, those of any other kind, and all."""
+    kinds = [F.count_if(F.col("event_type") == t).alias(t) for t in KINDS]
+    return _events(spark, d).groupBy("day").agg(*kinds, F.count_if(~F.coalesce(F.col("event_type").isin(*KINDS), F.lit(False))).alias("other"), F.count("*").alias("n"))
 
 
-ACTIVITY_SQL = "SELECT CAST(ts AS DATE) AS day, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS \"{t}\"" for t in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1"
+ACTIVITY_SQL = "SELECT CAST(ts AS DATE) AS day, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS \"{t}\"" for t in KINDS) + f", count(*) FILTER (NOT coalesce(event_type IN {KINDS}, false)) AS other, count(*) AS n FROM events GROUP BY 1"
 
 
 def focus_score(spark: SparkSession, d: str) -> DataFrame:

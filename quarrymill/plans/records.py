@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as V
-from ..operators.retrieval import top
+from ..operators.retrieval import best, top
 from ..sources import tables as S
 from ..sources.tables import table
 from .text import URL_SQL
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its labels, if any."""
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+
+
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     """Each source's documents as results of one query per language, longest first, judged by their quality label."""
     docs = table(spark, d, "documents").withColumn("query", F.concat_ws(":", "source", "lang"))
@@ -33,14 +38,13 @@ SELECT source, count(*) AS queries, round(avg(p), 6) AS precision_at_k, round(av
 
 
 def stage_a_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Hit, no-result and route rates overall and by source, and the gate over them."""
-    firsts = _judged(spark, d).where("rank = 1")
-    found = V.rates(firsts, "source", {"hit": F.col("quality") == 1, "no_result": F.col("quality").isNull(), "route": F.col("lang") == "en"})
+    """Hit, no-result and route rates of all documents, overall and by source, and the gate over them."""
+    found = V.rates(_labelled(spark, d), "source", {"hit": F.col("quality") == 1, "no_result": F.col("quality").isNull(), "route": F.col("lang") == "en"})
     return V.gate(found, {"hit": F.col("hit") >= 0.6, "no_result": F.col("no_result") <= 0.4, "route": F.col("route") >= 0.6})
 
 
 STAGE_SQL = f"""
-WITH {_JUDGED}, f AS (SELECT * FROM j WHERE rank = 1),
+WITH f AS (SELECT d.*, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 r AS (SELECT CASE WHEN grouping(source) = 1 THEN 'all' ELSE source END AS source, count(*) AS n, round(avg(CAST(quality = 1 AS INT)), 6) AS hit, round(avg(CAST(quality IS NULL AS INT)), 6) AS no_result, round(avg(CAST(lang = 'en' AS INT)), 6) AS route FROM f GROUP BY ROLLUP (source)),
 c AS (SELECT *, concat_ws(',', CASE WHEN coalesce(hit >= 0.6, false) THEN NULL ELSE 'hit' END, CASE WHEN no_result <= 0.4 THEN NULL ELSE 'no_result' END, CASE WHEN route >= 0.6 THEN NULL ELSE 'route' END) AS failed FROM r)
 SELECT *, failed = '' AS passed FROM c
@@ -49,13 +53,13 @@ SELECT *, failed = '' AS passed FROM c
 
 def delta_vs_baseline(spark: SparkSession, d: str) -> DataFrame:
     """English against German documents as candidate and baseline, by source."""
-    judged = _judged(spark, d)
+    judged = _labelled(spark, d)
     flags = {"good": F.col("quality") == 1, "toxic_rate": F.col("toxic") == 1}
     return V.delta(V.rates(judged.where("lang = 'en'"), "source", flags), V.rates(judged.where("lang = 'de'"), "source", flags), "source", ["good", "toxic_rate"])
 
 
 _RATE = "SELECT CASE WHEN grouping(source) = 1 THEN 'all' ELSE source END AS source, round(avg(CAST(quality = 1 AS INT)), 6) AS g, round(avg(CAST(toxic = 1 AS INT)), 6) AS t FROM j WHERE lang = '{}' GROUP BY ROLLUP (source)"
-DELTA_SQL = f"WITH {_JUDGED}, a AS ({_RATE.format('en')}), b AS ({_RATE.format('de')}) SELECT source, round((a.g - b.g) * 100, 3) AS good_delta, round((a.t - b.t) * 100, 3) AS toxic_rate_delta FROM a FULL JOIN b USING (source)"
+DELTA_SQL = f"WITH j AS (SELECT d.*, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id), a AS ({_RATE.format('en')}), b AS ({_RATE.format('de')}) SELECT source, round((a.g - b.g) * 100, 3) AS good_delta, round((a.t - b.t) * 100, 3) AS toxic_rate_delta FROM a FULL JOIN b USING (source)"
 
 
 def upper_median_age(spark: SparkSession, d: str) -> DataFrame:
@@ -82,18 +86,31 @@ SELECT page_id, u FROM o QUALIFY row_number() OVER (PARTITION BY h ORDER BY page
 
 
 def near_duplicate_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items by likeness of their word sets: pairs at 0.3 or more, met through shared words."""
-    sets = table(spark, d, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("s"))
-    words = sets.select("item_id", F.size("s").alias("n"), F.explode("s").alias("w"))
-    left, right = (words.select(F.col("item_id").alias(k), F.col("n").alias(f"n{k}"), "w") for k in ("a", "b"))
-    shared = left.join(right, "w").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
-    return shared.withColumn("likeness", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6)).where("likeness >= 0.3").select("a", "b", "likeness")
+    """Documents by likeness of their word sets: pairs at 0.8 or more of representatives, each of a set that n_a or n_b
+    documents have, and met through a rare word.
+
+    Words are ordered by how many sets have them. Two sets at 0.8 share a word among the first n - ceil(0.8 n) + 1 of
+    both, so only these are matched, between sets of lengths that allow 0.8; what meets is verified on the sets."""
+    sets = table(spark, d, "documents").select("doc_id", F.array_sort(F.array_distinct(T.tokens(F.col("text")))).alias("s")).where(F.size("s") > 0)
+    sets = sets.groupBy("s").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")).withColumn("n", F.size("s"))
+    words = sets.select("id", "n", F.explode("s").alias("w"))
+    rank = words.groupBy("w").agg(F.count("*").alias("df"))
+    order = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
+    first = words.join(rank.where("df > 1"), "w").withColumn("at", order)  # a word that one set has never meets another
+    alone = words.join(rank.where("df = 1"), "w").groupBy("id").agg(F.count("*").alias("alone"))
+    first = first.join(alone, "id", "left").where(F.col("at") + F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * F.lit("0.8").cast("decimal(2,1)")) + 1)
+    left, right = (first.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), "w") for k in ("a", "b"))
+    met = left.join(right, "w").where("a < b and 5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b").distinct()
+    a, b = (sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}"), F.col("copies").alias(f"n_{k}")) for k in ("a", "b"))
+    both = met.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("sa", "sb"))).withColumn("any", F.size("sa") + F.size("sb") - F.col("both"))
+    return both.where("5 * both >= 4 * any").select("a", "b", "n_a", "n_b", F.round(F.col("both") / F.col("any"), 6).alias("likeness"))
 
 
 JACCARD_SQL = """
-WITH s AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[0-9a-z]+')) AS s FROM benchmark), w AS (SELECT item_id, len(s) AS n, unnest(s) AS w FROM s),
-p AS (SELECT x.item_id AS a, y.item_id AS b, round(count(*) / (x.n + y.n - count(*)), 6) AS likeness FROM w x JOIN w y ON x.w = y.w AND x.item_id < y.item_id GROUP BY x.item_id, y.item_id, x.n, y.n)
-SELECT a, b, likeness FROM p WHERE likeness >= 0.3
+WITH t AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[0-9a-z]+'))) AS s FROM documents),
+r AS (SELECT s, min(doc_id) AS id, count(*) AS copies, len(s) AS n FROM t WHERE len(s) > 0 GROUP BY s), w AS (SELECT id, n, copies, unnest(s) AS w FROM r),
+p AS (SELECT x.id AS a, y.id AS b, x.copies AS n_a, y.copies AS n_b, x.n + y.n - count(*) AS any_, count(*) AS both_ FROM w x JOIN w y ON x.w = y.w AND x.id < y.id GROUP BY x.id, y.id, x.n, y.n, x.copies, y.copies)
+SELECT a, b, n_a, n_b, round(both_ / any_, 6) AS likeness FROM p WHERE 5 * both_ >= 4 * any_
 """
 
 
@@ -214,19 +231,19 @@ TOTALS_SQL = """SELECT 'nation' AS what, count(*) AS n FROM nation UNION ALL SEL
 
 
 def monthly_spend(spark: SparkSession, d: str) -> DataFrame:
-    """Spend of each month by priority, 0 where there was none."""
+    """Spend of each month and priority, and the month's."""
     orders = table(spark, d, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
-    return orders.groupBy("month").pivot("o_orderpriority", ["1-URGENT", "2-HIGH"]).agg(F.round(F.sum("o_totalprice"), 2)).na.fill(0.0)
+    return orders.rollup("month", "o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("spent"), F.grouping("o_orderpriority").cast("int").alias("whole"), F.grouping("month").alias("_all")).where("_all = 0").drop("_all")
 
 
-SPEND_SQL = """SELECT strftime(o_orderdate, '%Y-%m') AS month, coalesce(round(sum(o_totalprice) FILTER (o_orderpriority = '1-URGENT'), 2), 0.0) AS "1-URGENT", coalesce(round(sum(o_totalprice) FILTER (o_orderpriority = '2-HIGH'), 2), 0.0) AS "2-HIGH" FROM orders GROUP BY 1"""
+SPEND_SQL = """SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority, round(sum(o_totalprice), 2) AS spent, CAST(grouping(o_orderpriority) AS INT) AS whole FROM orders GROUP BY GROUPING SETS ((1, o_orderpriority), (1))"""
 
 
 def episode_search(spark: SparkSession, d: str) -> DataFrame:
     """Conversations by the words of a request they hold: one each, and one and a half for the phrase."""
     said = table(spark, d, "conversations").groupBy("conv_id").agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: F.coalesce(t["text"], F.lit(""))), "\n")).alias("s"))
     score = sum((F.col("s").contains(w).cast("double") for w in ("the", "thation", "one")), F.lit(0.0)) + 1.5 * F.col("s").contains("the one").cast("double")
-    return top(said.select("conv_id", score.alias("score"), F.lit(1).alias("all")).where("score > 0"), ["all"], [F.desc("score"), "conv_id"], 10).drop("all")
+    return best(said.select("conv_id", score.alias("score")).where("score > 0"), [F.desc("score"), "conv_id"], 10)
 
 
 EPISODE_SQL = """WITH s AS (SELECT conv_id, lower(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS s FROM conversations GROUP BY conv_id),

@@ -9,51 +9,45 @@ from ..functions.text import clamp, freshness, importance, jaccard, tokens
 from ..operators import retrieval as R
 from ..sources.tables import table
 
-QUERY_TERMS = {1: ["the", "of", "and"], 2: ["de", "la"], 3: ["der", "die", "und"], 4: ["license"]}
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
 
 
-def _queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([*QUERY_TERMS.items()], "query_id int, terms array<string>")
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    """Every document whose id is divisible by 100 asks for its three rarest words that another document has too."""
+    return R.rare_words(_docs(spark, d), "doc_id", "text", F.col("doc_id") % 100 == 0)
 
 
 def lexical_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = R.min_max(R.bm25(table(spark, d, "documents"), "doc_id", "text", _queries(spark)), "query_id", "score", "normalised")
+    hits = R.min_max(R.bm25(_docs(spark, d), "doc_id", "text", _queries(spark, d)), "query_id", "score", "normalised")
     return R.top(hits, ["query_id"], [F.desc("score"), "doc_id"], 20)
 
 
-_BM25 = f"""
-q AS (SELECT * FROM (VALUES {", ".join(f"({q}, {t})" for q, t in QUERY_TERMS.items())}) AS t(query_id, terms)),
-w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z]+') AS w FROM documents),
+_WORDS = """
+w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[0-9a-z]+') AS w FROM documents),
+dw AS (SELECT doc_id, unnest(list_distinct(w)) AS word FROM w),
+adf AS (SELECT word, count(*) AS df FROM dw GROUP BY word),
+q AS (SELECT query_id, list_sort(list(word)) AS terms FROM (SELECT doc_id AS query_id, word FROM dw JOIN adf USING (word) WHERE doc_id % 100 = 0 AND df > 1
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, word) <= 3) GROUP BY query_id),
+qt AS (SELECT query_id, terms, len(terms) AS n_terms, unnest(terms) AS word FROM q),
+tf AS (SELECT word, doc_id, len, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS word FROM w) WHERE word IN (SELECT word FROM qt) GROUP BY ALL)"""
+_BM25 = f"""{_WORDS},
 st AS (SELECT count(*) AS n_docs, avg(len(w)) AS avg_len FROM w),
-qt AS (SELECT query_id, len(terms) AS n_terms, unnest(terms) AS word FROM q),
-tf AS (SELECT word, doc_id, len, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS word FROM w) WHERE word IN (SELECT word FROM qt) GROUP BY ALL),
 df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
 h AS (SELECT query_id, doc_id, n_terms, count(*) AS found, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score
   FROM tf JOIN df USING (word) JOIN qt USING (word), st GROUP BY ALL HAVING count(*) = n_terms),
 n AS (SELECT query_id, doc_id, score, round(CASE WHEN max(score) OVER p > min(score) OVER p THEN (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p) ELSE CAST(score > 0 AS INT) END, 6)::DOUBLE AS normalised FROM h WINDOW p AS (PARTITION BY query_id))
 """
-BM25_SQL = f"WITH {_BM25} SELECT CAST(query_id AS INT) AS query_id, doc_id, score, normalised, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM n QUALIFY rank <= 20"
+BM25_SQL = f"WITH {_BM25} SELECT query_id, doc_id, score, normalised, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM n QUALIFY rank <= 20"
 
 
 def linear_lexical_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Share of words matched, whole phrase, and density, for every stated query."""
-    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"), tokens(F.col("text")).alias("w"))
-    parts = []
-    for q, terms in QUERY_TERMS.items():
-        found = F.size(F.array_intersect(F.col("w"), F.array(*map(F.lit, terms)))) / len(terms)
-        count = sum((F.size("w") - F.size(F.array_remove("w", t)) for t in terms), F.lit(0))
-        density = F.when(F.size("w") > 0, F.least(F.lit(1.0), 10 * count / F.size("w"))).otherwise(0.0)
-        score = F.greatest(F.lit(0.05), 0.58 * found + 0.24 * F.col("low").contains(" ".join(terms)).cast("int") + 0.18 * density)
-        parts.append(F.struct(F.lit(q).alias("query_id"), F.round(score, 6).alias("score")))
-    rows = docs.select("doc_id", F.explode(F.array(*parts)).alias("s")).select("s.query_id", "doc_id", "s.score")
-    return R.top(rows, ["query_id"], [F.desc("score"), "doc_id"], 15)
+    return R.top(R.linear(_docs(spark, d), "doc_id", "text", _queries(spark, d)), ["query_id"], [F.desc("score"), "doc_id"], 15)
 
 
 LINEAR_SQL = f"""
-WITH q AS (SELECT * FROM (VALUES {", ".join(f"({q}, {t})" for q, t in QUERY_TERMS.items())}) AS t(query_id, terms)),
-w AS (SELECT doc_id, lower(text) AS low, regexp_extract_all(lower(text), '[0-9a-z]+') AS w FROM documents),
-s AS (SELECT CAST(query_id AS INT) AS query_id, doc_id, round(greatest(0.05, 0.58 * len(list_intersect(w, terms)) / len(terms) + 0.24 * CAST(contains(low, array_to_string(terms, ' ')) AS INT)
-  + 0.18 * CASE WHEN len(w) > 0 THEN least(1.0, 10 * len(list_filter(w, lambda x: list_contains(terms, x))) / len(w)) ELSE 0.0 END), 6)::DOUBLE AS score FROM w, q)
+WITH {_WORDS}, m AS (SELECT query_id, doc_id, terms, count(*) AS found, sum(tf) AS n, max(len) AS len FROM tf JOIN qt USING (word) GROUP BY ALL),
+s AS (SELECT query_id, m.doc_id, round(greatest(0.05, 0.58 * found / len(terms) + 0.24 * coalesce(CAST(contains(lower(text), array_to_string(terms, ' ')) AS INT), 0) + 0.18 * least(1.0, 10 * n / len)), 6)::DOUBLE AS score FROM m JOIN w ON m.doc_id = w.doc_id)
 SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s QUALIFY rank <= 15
 """
 
@@ -61,7 +55,7 @@ SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc
 def weighted_field_search(spark: SparkSession, d: str) -> DataFrame:
     score = sum((R.field_score(t, {"p_name": 6.0, "p_type": 3.0, "p_brand": 2.0}) for t in ("steel", "part", "brand", "1")), F.lit(0.0))
     hits = table(spark, d, "part").select("p_partkey", score.alias("score")).where("score > 0")
-    return R.top(hits.withColumn("all", F.lit(1)), ["all"], [F.desc("score"), "p_partkey"], 50).drop("all")
+    return R.best(hits, [F.desc("score"), "p_partkey"], 50)
 
 
 FIELD_SQL = f"""WITH s AS (SELECT p_partkey, {" + ".join(f"(CASE WHEN contains(lower({c}), '{t}') THEN {w} ELSE 0.0 END)" for t in ("steel", "part", "brand", "1") for c, w in (("p_name", 6.0), ("p_type", 3.0), ("p_brand", 2.0)))} AS score FROM part)
@@ -82,33 +76,33 @@ KNN_SQL = f"WITH {_KNN.format(where='WHERE q.vec_id % 100 = 0')} SELECT *, great
 
 
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Lexical hits of query q fused with the neighbours of vector 100 * q."""
-    lex = R.min_max(R.bm25(table(spark, d, "documents"), "doc_id", "text", _queries(spark)), "query_id", "score", "lex")
+    """Lexical hits of every document whose id is divisible by 100, fused with the neighbours of the vector of that id."""
+    lex = R.min_max(R.bm25(_docs(spark, d), "doc_id", "text", _queries(spark, d)), "query_id", "score", "lex")
     lex = R.top(lex, ["query_id"], [F.desc("score"), "doc_id"], 40, "lex_rank")
-    rows = table(spark, d, "embeddings")
-    asked = rows.where(F.col("vec_id").isin([100 * q for q in QUERY_TERMS])).select((F.col("vec_id") / 100).cast("int").alias("query_id"), F.col("embedding").alias("vector"))
-    near = R.knn(rows.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "embedding", asked, 40)
-    sem = near.select(F.col("query_id").cast("int").alias("query_id"), "doc_id", clamp(F.col("similarity")).alias("sem"))
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
+    sem = R.knn(rows, "doc_id", "embedding", asked, 40).select("query_id", "doc_id", clamp(F.col("similarity")).alias("sem"))
     return R.top(R.fuse(lex, sem, "doc_id"), ["query_id"], [F.desc("score"), F.desc("lex"), "doc_id"], 20)
 
 
 FUSION_SQL = f"""
 WITH {_BM25}, l AS (SELECT query_id, doc_id, normalised AS lex, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS lex_rank FROM n QUALIFY lex_rank <= 40),
 v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-s AS (SELECT CAST(q.vec_id / 100 AS INT) AS query_id, c.vec_id AS doc_id, round(list_cosine_similarity(q.e, c.e), 6) AS sem FROM v q JOIN v c ON CAST(q.vec_id / 100 AS INT) <> c.vec_id
-  WHERE q.vec_id IN (100, 200, 300, 400) QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY sem DESC, c.vec_id) <= 40),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_cosine_similarity(q.e, c.e), 6) AS sem FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY sem DESC, c.vec_id) <= 40),
 f AS (SELECT query_id, doc_id, coalesce(lex, 0.0) AS lex, greatest(0.0, least(1.0, coalesce(sem, 0.0))) AS sem, lex_rank FROM l FULL JOIN s USING (query_id, doc_id)),
-g AS (SELECT CAST(query_id AS INT) AS query_id, doc_id, round(lex, 6) AS lex, round(sem, 6) AS sem, round(greatest(0.0, least(1.0, CASE WHEN sem = 0 AND lex > 0 THEN greatest(0.7 * sem + 0.3 * lex, 0.82 * lex, 0.84 - 0.04 * (lex_rank - 1)) ELSE 0.7 * sem + 0.3 * lex END)), 6) AS score FROM f)
+g AS (SELECT query_id, doc_id, round(lex, 6) AS lex, round(sem, 6) AS sem, round(greatest(0.0, least(1.0, CASE WHEN sem = 0 AND lex > 0 THEN greatest(0.7 * sem + 0.3 * lex, 0.82 * lex, 0.84 - 0.04 * (lex_rank - 1)) ELSE 0.7 * sem + 0.3 * lex END)) + 1e-9, 6) AS score FROM f)
 SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lex DESC, doc_id) AS INT) AS rank FROM g QUALIFY rank <= 20
 """
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    hits = R.top(R.min_max(R.bm25(table(spark, d, "documents"), "doc_id", "text", _queries(spark)), "query_id", "score", "normalised"), ["query_id"], [F.desc("score"), "doc_id"], 60)
-    return hits.join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
+    """All hits of every query, with their sources; what is kept of them is decided by the queries below."""
+    hits = R.min_max(R.bm25(_docs(spark, d), "doc_id", "text", _queries(spark, d)), "query_id", "score", "normalised")
+    return hits.join(_docs(spark, d).select("doc_id", "source", "lang"), "doc_id")
 
 
-_HITS = _BM25 + ", hits AS (SELECT CAST(query_id AS INT) AS query_id, n.doc_id, score, normalised, source, lang, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n.doc_id) AS rank FROM n JOIN documents USING (doc_id) QUALIFY rank <= 60)"
+_HITS = _BM25 + ", hits AS (SELECT query_id, n.doc_id, score, normalised, source, lang, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n.doc_id) AS rank FROM n JOIN documents USING (doc_id))"
 
 
 def parent_diversify(spark: SparkSession, d: str) -> DataFrame:
@@ -134,7 +128,7 @@ SELECT query_id, doc_id, CAST(r AS INT) AS dup_rank, round(normalised - least(0.
 def source_budget_topk(spark: SparkSession, d: str) -> DataFrame:
     """At most two hits of a source, then the ten best."""
     within = R.top(_hits(spark, d), ["query_id", "source"], [F.desc("score"), "doc_id"], 2, "in_source")
-    return R.top(within.drop("rank"), ["query_id"], [F.desc("score"), "doc_id"], 10).select("query_id", "doc_id", "source", "rank")
+    return R.top(within, ["query_id"], [F.desc("score"), "doc_id"], 10).select("query_id", "doc_id", "source", "rank")
 
 
 BUDGET_SQL = f"""
