@@ -24,8 +24,8 @@ from .scratch import Scratch, numbered
 WINDOW, GRAM = 100, 32
 CHUNK = 1 << 20  # bytes of text that are hashed together
 SHARD = 1 << 20  # bytes of segments in one suffix array
-FLUSH = 1 << 19  # segments whose grams a task sends together
-MOVE = 8 << 20  # bytes of text whose segments are cut out together
+FLUSH = 1 << 20  # segments whose grams a task sends together
+MOVE = 24 << 20  # bytes of text whose segments are cut out together
 #: Segments from which a gram counts as hot: so many, and more where else over MOST_HOT grams would be hot.
 HOT, MOST_HOT = 4096, 500_000
 _PLACE = np.uint64((1 << 24) - 1)
@@ -547,6 +547,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, carry: tuple[str, ...] = (
         here = scratch.keep(moved.repartition("gram").sortWithinPartitions("gram").mapInArrow(_cut_repeats(SHARD), _MOVED), f"cuts-{level}")
         cuts = here if cuts is None else cuts.unionByName(here)
         moved = here.where("segment is not null")
+        if level == 0:
+            scratch.drop("marked")
         if moved.isEmpty():
             break
     spans = cuts.where("segment is null").groupBy(*ids).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
