@@ -81,23 +81,30 @@ def _induce(t, s_type, lms, first, last):
 
 def _induce_wide(t, s_type, lms, first, last):
     """The same, symbol by symbol: for strings of names, whose buckets are many and small."""
-    t, s_type = t.tolist(), s_type.tolist()
-    sa = [-1] * len(t)
-
-    def pull(places, want, ptr, step):
-        for k in places:
-            j = sa[k] - 1
-            if j >= 0 and s_type[j] == want:
-                c = t[j]
-                ptr[c] += step
-                sa[ptr[c]] = j
-
-    back = last.tolist()
+    symbols = t.tolist()
+    # what may go before a suffix, by its type; the end goes before none, and stands for places not filled yet
+    l_before, s_before = np.where(s_type, -1, t).tolist(), np.where(s_type, t, -1)
+    s_before[-1] = -1
+    s_before = s_before.tolist()
+    sa, front, back = [0] * len(symbols), first.tolist(), last.tolist()
     for i in lms[::-1].tolist():
-        back[t[i]] -= 1
-        sa[back[t[i]]] = i
-    pull(range(len(t)), False, (first - 1).tolist(), 1)
-    pull(range(len(t) - 1, -1, -1), True, last.tolist(), -1)
+        c = symbols[i]
+        back[c] = at = back[c] - 1
+        sa[at] = i
+    for i in sa:  # what is filled in ahead is met later in the same pass
+        i -= 1
+        c = l_before[i]
+        if c >= 0:
+            at = front[c]
+            sa[at] = i
+            front[c] = at + 1
+    back = last.tolist()
+    for i in reversed(sa):
+        i -= 1
+        c = s_before[i]
+        if c >= 0:
+            back[c] = at = back[c] - 1
+            sa[at] = i
     return np.array(sa)
 
 
