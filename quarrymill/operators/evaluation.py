@@ -35,3 +35,27 @@ def delta(candidate: DataFrame, baseline: DataFrame, by: str, metrics: list[str]
     """Percentage points that each metric gains over the baseline, rounded to 3 places."""
     base = baseline.select(by, *[F.col(m).alias(f"_{m}") for m in metrics])
     return candidate.join(base, by, "full_outer").select(by, *[F.round((F.col(m) - F.col(f"_{m}")) * 100, 3).alias(f"{m}_delta") for m in metrics])
+
+
+#: Limits of the answer stage.
+STAGE_B_LIMITS = {"answerable": 0.01, "non_substantive": 0.30, "grounded": 0.30, "good_or_partial": 0.70, "wrong_era": 0.20, "abstention": 0.80}
+
+
+def answer_stage(rows: DataFrame, by: str) -> DataFrame:
+    """Of judged answers (top1, answerable, substantive, temporal, abstains, wrong_era, must_abstain: booleans; grounded:
+    long; label: good, partial, bad or null), for every value of `by`: rates over the rows that each concerns, 0 where
+    there are none, and whether all limits hold. Rates of judgements are over rows with a result and a label."""
+    top, judged = F.col("top1"), F.col("top1") & F.col("label").isNotNull()
+    parts = {
+        "answerable": (top, F.col("answerable")), "non_substantive": (top, ~F.col("substantive")), "grounded": (top & F.col("temporal"), F.col("grounded") > 0),
+        "good_or_partial": (judged, F.col("label").isin("good", "partial")), "wrong_era": (judged & F.col("temporal"), F.col("wrong_era")),
+        "abstention": (judged & F.col("must_abstain"), F.col("abstains")),
+    }
+    sums = rows.groupBy(by).agg(*[F.count_if(among).alias(f"_n_{k}") for k, (among, _) in parts.items()], *[F.count_if(among & yes).alias(f"_y_{k}") for k, (among, yes) in parts.items()])
+    rate = {k: F.round(F.when(F.col(f"_n_{k}") > 0, F.col(f"_y_{k}") / F.col(f"_n_{k}")).otherwise(0.0), 6) for k in parts}
+    most = {"non_substantive", "wrong_era"}
+    holds = [(F.col(f"_n_{k}") > 0) & ((rate[k] <= limit) if k in most else (rate[k] >= limit)) for k, limit in STAGE_B_LIMITS.items()]
+    whole = holds[0]
+    for h in holds[1:]:
+        whole = whole & h
+    return sums.select(by, F.col("_n_answerable").alias("results"), F.col("_n_good_or_partial").alias("judged"), *[c.alias(k) for k, c in rate.items()], whole.alias("passed"))

@@ -117,12 +117,12 @@ SELECT node, count(DISTINCT a) AS level FROM n LEFT JOIN r ON r.b = node GROUP B
 
 
 def isolated_customers(spark: SparkSession, d: str) -> DataFrame:
-    """Customers without any order, and suppliers' nations without customers."""
-    edges = table(spark, d, "orders").select(F.col("o_custkey").alias("a"), F.col("o_custkey").alias("b"))
+    """Customers without any urgent order."""
+    edges = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("a"), F.col("o_custkey").alias("b"))
     return G.isolated(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), edges, "c_custkey", "a", "b")
 
 
-ISOLATED_SQL = "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+ISOLATED_SQL = "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"
 
 QUERIES = {
     "mutual_knn_edges": (mutual_knn_edges, f"WITH {_EDGES} SELECT a, b, weight FROM e"),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import events, graph, records, retrieval, text
+from . import events, graph, knowledge, records, retrieval, text
 
-_ALL = {**retrieval.QUERIES, **text.QUERIES, **graph.QUERIES, **events.QUERIES, **records.QUERIES}
+_ALL = {**retrieval.QUERIES, **text.QUERIES, **graph.QUERIES, **events.QUERIES, **records.QUERIES, **knowledge.QUERIES}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}

@@ -216,12 +216,26 @@ def episodes(spark: SparkSession, d: str) -> DataFrame:
 EPISODES_SQL = """SELECT conv_id, count(*) AS turns, substr(string_agg(role || ': ' || text, chr(10) ORDER BY turn), 1, 480) AS summary, CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS answers FROM conversations GROUP BY conv_id"""
 
 
+MOST_SENT = 2_000_000  # hashes that may be sent to every task
+
+
 def benchmark_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that share eight-word passages with benchmark items: shared passages and the share of the item's."""
-    grams = lambda df, key: df.select(key, T.tokens(F.col("text")).alias("t")).where(F.size("t") >= 8).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - 7), lambda i: F.array_join(F.slice("t", i, 8), " ")))).alias("g"))
-    items = grams(table(spark, d, "benchmark"), "item_id")
-    size = items.groupBy("item_id").agg(F.count("*").alias("size"))
-    shared = grams(table(spark, d, "documents"), "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    """Documents that share eight-word passages with benchmark items: shared passages and the share of the item's.
+
+    Passages of documents are hashed where they are, and only those whose hash an item has are spelled out and
+    shuffled. The items' hashes go to every task if they are few, which is counted first; else the join shuffles."""
+    words = lambda name, key: table(spark, d, name).select(key, T.tokens(F.col("text")).alias("t")).where(F.size("t") >= 8)
+    places = F.sequence(F.lit(1), F.size("t") - 7)
+    spelled = lambda df, key: df.select(key, F.array_join(F.slice("t", F.col("at"), 8), " ").alias("g")).distinct()
+    items = words("benchmark", "item_id").select("item_id", "t", F.explode(places).alias("at"))
+    hashes = items.select(F.xxhash64(F.slice("t", F.col("at"), 8)).alias("h")).distinct()
+    hashes = F.broadcast(hashes) if hashes.limit(MOST_SENT + 1).count() <= MOST_SENT else hashes
+    docs = words("documents", "doc_id")
+    near = docs.select("doc_id", F.posexplode(F.transform(places, lambda i: F.xxhash64(F.slice("t", i, 8)))).alias("at", "h")).join(hashes, "h", "left_semi")
+    found = spelled(near.select("doc_id", (F.col("at") + 1).alias("at")).join(docs, "doc_id"), "doc_id")
+    grams = spelled(items, "item_id")
+    size = grams.groupBy("item_id").agg(F.count("*").alias("size"))
+    shared = found.join(grams, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
     return shared.join(size, "item_id").select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("size"), 6).alias("containment"))
 
 

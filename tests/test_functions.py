@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from quarrymill.functions import chunking
+from quarrymill.functions import queries as Q
 from quarrymill.functions import text as T
-from quarrymill.operators import evaluation, events, graph, retrieval
+from quarrymill.operators import evaluation, events, evidence, graph, learning, retrieval
 from quarrymill.sources import tables
 
 
@@ -110,3 +111,43 @@ def test_upsert_and_delete(spark):
     out = tables.delete_where(tables.upsert(stored, changes, "id", "at"), {"v": "a"})
     assert sorted((r["id"], r["v"]) for r in out.collect()) == [(2, "c"), (3, "d")]
     assert tables.merge_filters({"a": 1}, {"a": 2, "b": 3}) == {"a": 2, "b": 3}
+
+
+def test_query_intent_and_time(spark):
+    cases = (
+        ("RAG vs fine-tuning", "comparison", "none", ""), ("arXiv 2401.01234 since 2021", "paper_lookup", "after", "2021"), ("find papers about agents", "paper_topic", "none", ""),
+        ("the citation", "paper_lookup", "none", ""), ("patch this before 2019", "implementation", "before", "2019"), ("benchmark prior to 2022", "evaluation", "before", "2022"),
+        ("how to install", "howto", "none", ""), ("define entropy", "definition", "none", ""), ("vector index latest", "evaluation", "latest", ""), ("vector index recent", "topic_lookup", "latest", ""),
+        ("many words about some rather unusual subject matter", "definition", "none", ""), ("", "definition", "none", ""), (None, "definition", "none", ""), ("2020 이전 모델", "topic_lookup", "before", "2020"),
+    )
+    for text, intent, mode, year in cases:
+        t = F.lit(text).cast("string")
+        assert (one(spark, Q.intent(t)), *(one(spark, x) for x in Q.temporal(t))) == (intent, mode, year), text
+
+
+def test_dropped_evidence_drops_nothing(spark):
+    rows = spark.createDataFrame([("q", 1, "a", "x"), ("q", 2, "b", "x"), ("q", 3, "b", "y"), ("q", 4, "a", "z"), ("r", 1, "a", None), ("r", 2, "c", None)], "q string, rank int, k string, f string")
+    assert sorted((r["q"], r["rank"]) for r in evidence.dedupe(rows, "q", "rank", "k", "f").collect()) == [("q", 1), ("q", 3), ("r", 1), ("r", 2)]
+    for kind, intent, most in (("paper", "definition", 2), ("paper", "evaluation", 4), ("web", "comparison", 5), ("web", "howto", 6)):
+        assert one(spark, evidence.most_sources(F.lit(kind), F.lit(intent))) == most
+
+
+def test_learning_edges(spark):
+    rows = spark.createDataFrame([("x", "y", "requires", 0.5), ("x", "y", "part_of", 0.9), ("x", "x", "enables", 0.9), ("x", "z", "related_to", 0.9), ("x", None, "enables", 0.9)], "source string, target string, predicate string, confidence double")
+    assert sorted(map(tuple, learning.relation_edges(rows).collect())) == [("x", "y", "recommended_before", 0.9), ("y", "x", "prerequisite", 0.85)]
+    claims = spark.createDataFrame([("a", "b", "A builds on B and requires it", 0.5), ("a", "a", "requires", 0.5), ("a", "b", "nothing", 0.5), ("a", "b", None, 0.5)], "subject string, object string, text string, confidence double")
+    assert sorted(map(tuple, learning.claim_edges(claims).collect())) == [("b", "a", "builds_on", 0.62), ("b", "a", "prerequisite", 0.76)]
+
+
+def test_links_resolve_to_single_notes(spark):
+    notes = spark.createDataFrame([(1, "a/one", "one", "first"), (2, "b/two", "two", "same"), (3, "c/two", "two", "same"), (4, None, None, None)], "id int, path string, stem string, alias string")
+    links = spark.createDataFrame([(2, "a/one"), (2, "x/one"), (3, "two"), (3, "first"), (3, "same"), (3, "gone"), (4, None)], "id int, key string")
+    assert sorted(map(tuple, learning.resolve_links(notes, links).collect())) == [(2, 1), (3, 1)]
+
+
+def test_answer_stage_needs_rows_for_every_rate(spark):
+    full = ("s", True, True, True, True, 1, "good", True, False, True)
+    rows = spark.createDataFrame([full, ("t", True, True, True, False, 0, None, False, False, False), ("t", False, True, True, True, 1, "good", True, False, True)], "g string, top1 boolean, answerable boolean, substantive boolean, temporal boolean, grounded long, label string, abstains boolean, wrong_era boolean, must_abstain boolean")
+    got = {r["g"]: r for r in evaluation.answer_stage(rows, "g").collect()}
+    assert got["s"]["passed"] and got["s"]["good_or_partial"] == 1.0
+    assert not got["t"]["passed"] and got["t"]["results"] == 1 and got["t"]["judged"] == 0 and got["t"]["grounded"] == 0.0
