@@ -148,8 +148,7 @@ def near_copies(docs: DataFrame, scratch: Scratch, key: str, text: str = "text",
     asked = members.select("node").unionByName(pairs.select(F.col("u").alias("node"))).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     asked = asked.join(distinct, "node").select("node", F.col("least").alias(key))
     texts = scratch.keep(docs.select(key, F.col(text).alias("text")).join(asked, key).select("node", "text"), "texts")
-    links = scratch.keep(_verified(pairs, texts, width, likeness), "links-0")
-    linked = components(links, scratch)
+    linked = components(scratch.keep(_verified(pairs, texts, width, likeness), "links-0"), scratch)
     rest = members.where("node <> head").select("bucket", "node")
     for k in range(1, ROUNDS + 1):
         now = rest.join(linked.withColumnRenamed("component", "c"), "node", "left").select("bucket", "node", F.coalesce("c", "node").alias("component"))
@@ -164,8 +163,7 @@ def near_copies(docs: DataFrame, scratch: Scratch, key: str, text: str = "text",
             more = _verified(scratch.keep(met.distinct(), f"pairs-{k}"), texts, width, likeness)
         more = scratch.keep(more, f"links-{k}")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            linked = components(links, scratch)
+            linked = components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch)
         rest = now.where("node <> p.node").select("bucket", "node")
 
     placed = distinct.join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))

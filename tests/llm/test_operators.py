@@ -613,3 +613,28 @@ def test_columns_of_any_name_stay(spark):
     assert set(own) < set(clashing.columns)
     shown = ["doc_id", "size", "pattern_size", "target", "taken"]
     assert sorted(plain.select(shown).collect()) == sorted(clashing.select(shown).collect())
+
+
+@pytest.mark.parametrize("n_tasks", [1, 7])
+def test_components_of_chains_stars_and_repeated_links(spark, n_tasks):
+    from quarrymill.llm.components import components
+
+    rng = np.random.default_rng(5)
+    chain = [(int(a), int(b)) for a, b in zip(rng.permutation(300), rng.permutation(300))]
+    star = [(1000, k) for k in range(1001, 1400)]
+    pairs = [(2000 + 2 * k, 2001 + 2 * k) for k in range(50)] + [(2001, 2000), (5, 5), (9000, 9000)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in chain + star + pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    links = spark.createDataFrame(chain + star + pairs, "u long, v long").repartition(n_tasks)
+    found = components(links, Scratch(spark, "test")).collect()
+    linked = {x for a, b in chain + star + pairs if a != b for x in (a, b)}
+    assert {r["node"]: r["component"] for r in found} == {x: root(x) for x in linked} and len(found) == len(linked)
+    assert components(links.where("false"), Scratch(spark, "test")).isEmpty()
