@@ -22,7 +22,7 @@ from .scratch import Scratch
 WIDTH, LIKENESS = 5, (4, 5)  # likeness as a fraction, compared in whole numbers
 BANDS, ROWS = 20, 4
 #: Rounds in which the members of a bucket meet one of them only; what is left unjoined then meets in blocks of so many.
-ROUNDS, BLOCK = 2, 128
+ROUNDS, BLOCK = 1, 128
 #: Texts that one task compares with one text.
 GROUP = 512
 _RNG = np.random.default_rng(42)
