@@ -3,11 +3,13 @@
 from .bpe import op3_bpe
 from .chat import OP6_SQL, op6_chat_format
 from .cover_tree import OP1_SQL, op1_cover_tree
+from .filter_audit import OP13_SQL, op13_filter_audit
 from .mixing import op8_mixing
 from .quality import op9_quality
 from .sharding import OP2_SQL, op2_sharding
 from .simhash import op5_simhash
 from .suffix import op10_suffix
+from .token_alignment import op11_alignment
 from .topk import OP4_SQL, op4_topk
 from .toxicity import op7_toxicity
 
@@ -22,5 +24,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_suffix": op10_suffix,
+    "op11_alignment": op11_alignment,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLE_SQL = {"op1_cover_tree": OP1_SQL, "op2_sharding": OP2_SQL, "op4_topk": OP4_SQL, "op6_chat_format": OP6_SQL}
+ORACLE_SQL = {"op1_cover_tree": OP1_SQL, "op2_sharding": OP2_SQL, "op4_topk": OP4_SQL, "op6_chat_format": OP6_SQL, "op13_filter_audit": OP13_SQL}
