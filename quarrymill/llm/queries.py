@@ -6,6 +6,7 @@ from .cover_tree import OP1_SQL, op1_cover_tree
 from .filter_audit import OP13_SQL, op13_filter_audit
 from .mixing import op8_mixing
 from .quality import op9_quality
+from .seed_extend import op12_seed_extend
 from .sharding import OP2_SQL, op2_sharding
 from .simhash import op5_simhash
 from .suffix import op10_suffix
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_suffix": op10_suffix,
     "op11_alignment": op11_alignment,
+    "op12_seed_extend": op12_seed_extend,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL = {"op1_cover_tree": OP1_SQL, "op2_sharding": OP2_SQL, "op4_topk": OP4_SQL, "op6_chat_format": OP6_SQL, "op13_filter_audit": OP13_SQL}
