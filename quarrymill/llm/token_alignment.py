@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from .bpe import MOST_VOCABULARY_BYTES, _once, in_chunks
 from .scratch import Scratch
 
-#: Places where texts may be cut: a space after a character that no engine counts as white space, unless only spaces follow.
-CUT = re.compile(r"(?<=[^\s\u180e\u200b\u2581\ufeff])(?= +[^ ])")
+#: Places where texts may be cut: a space after a character that no engine counts as white space, unless only spaces
+#: follow; and ends after which another stretch may be put.
+SOLID = r"[^\s\u180e\u200b\u2581\ufeff]"
+CUT, OPEN_END = re.compile(f"(?<={SOLID})(?= +[^ ])"), re.compile(rf"{SOLID}\Z")
 #: Transitions and bytes of stretches that a Python worker remembers; beyond them the memory starts afresh. Longer
 #: stretches than LONGEST_REMEMBERED characters are worked out whenever they occur.
 MOST_TRANSITIONS, REMEMBERED_BYTES, STRETCH_OVERHEAD, LONGEST_REMEMBERED = 1_000_000, 64 << 20, 500, 100
-#: Characters whose stretches are encoded together.
-CHUNK_CHARS = 500_000
+#: Characters of texts whose new stretches are worked out together, and stretches that are encoded as one text.
+CHUNK_CHARS, JOINED = 500_000, 1_000
 #: Groups with more links than this are summed by distinct ids before links are written out.
 LARGE_GROUP = 1 << 10
 #: Pairs of ids whose counts are sent to every task; the counts of the others are joined.
@@ -50,14 +52,17 @@ class ByteLevelTokenizer:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow 255
         byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
         vocabulary = json.loads(raw)["model"]["vocab"]
-        self.bytes = {i: bytes(byte_of[c] for c in token) for token, i in vocabulary.items() if all(c in byte_of for c in token)}
+        self.bytes = [b""] * (max(vocabulary.values()) + 1)  # ids without bytes stay empty
+        for token, i in vocabulary.items():
+            if all(c in byte_of for c in token):
+                self.bytes[i] = bytes(byte_of[c] for c in token)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 class PieceTokenizer:
-    """A sentencepiece model, which puts a space before what it encodes; each text must begin with that space."""
+    """A sentencepiece model, which puts a space before what it encodes; a text must begin with that space."""
 
     def __init__(self, raw: bytes):
         import sentencepiece
@@ -66,10 +71,10 @@ class PieceTokenizer:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("a piece goes on after the end of a word, so texts can't be cut before spaces")
-        self.bytes = {i: bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
+        self.bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode([t[1:] for t in texts], num_threads=1)
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode(text[1:])
 
 
 # ---- the transducer
@@ -78,7 +83,7 @@ class PieceTokenizer:
 class DanglingSuffix:
     """Groups of tokens of two sides, given each side's bytes by id."""
 
-    def __init__(self, a_bytes: dict[int, bytes], b_bytes: dict[int, bytes]):
+    def __init__(self, a_bytes: list[bytes], b_bytes: list[bytes]):
         self.sides = a_bytes, b_bytes
         self.forget()
 
@@ -86,6 +91,7 @@ class DanglingSuffix:
         self.states: list[tuple[int, bytes]] = [(0, b"")]  # (the side that leads, its unmatched bytes); 0: none
         self.names = {(0, b""): 0, (1, b""): 0}
         self.moves: dict[int, int] = {}  # by state << 32 | token of the side behind
+        self.openings: dict[int, int] = {}  # from nothing left over, by token of a << 32 | token of b
 
     def _state(self, side: int, residual: bytes) -> int:
         name = self.names.get((side, residual))
@@ -97,9 +103,7 @@ class DanglingSuffix:
     def _move(self, state: int, token: int) -> int:
         """The next state; -1 where the token's bytes contradict the residual."""
         side, residual = self.states[state]
-        added = self.sides[1 - side if state else 0][token]
-        if not state:
-            return self._state(0, added)
+        added = self.sides[1 - side][token]
         if residual.startswith(added):
             return self._state(side, residual[len(added) :])
         if added.startswith(residual):
@@ -107,63 +111,107 @@ class DanglingSuffix:
         return -1
 
     def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
-        """Where each group ends in a and in b; None if the two sides' bytes differ."""
-        if len(self.moves) > MOST_TRANSITIONS:
+        """Where each group ends in a and in b; None if the two sides' bytes differ. No token is without bytes."""
+        if len(self.moves) + len(self.openings) > MOST_TRANSITIONS:
             self.forget()
-        moves, states, ends = self.moves, self.states, []
-        i = j = state = 0
+        moves, openings, states, ends = self.moves, self.openings, self.states, []
+        i = j = 0
         try:
-            while i < len(a) or state or j < len(b):
-                if not state or states[state][0]:  # nobody or side b leads
-                    token = a[i]
-                    i += 1
-                else:
-                    token = b[j]
-                    j += 1
-                key = state << 32 | token
-                state = moves.get(key)
+            while i < len(a):
+                key = a[i] << 32 | b[j]  # a group opens with a token of either side: two moves in one
+                i += 1
+                j += 1
+                state = openings.get(key)
                 if state is None:
-                    state = moves[key] = self._move(key >> 32, token)
-                if not state:
-                    ends.append((i, j))
-                elif state < 0:
-                    return None
+                    state = openings[key] = self._move(self._state(0, self.sides[0][key >> 32]), key & 0xFFFFFFFF)
+                while state:
+                    if state < 0:
+                        return None
+                    if states[state][0]:  # side b leads
+                        token = a[i]
+                        i += 1
+                    else:
+                        token = b[j]
+                        j += 1
+                    key = state << 32 | token
+                    state = moves.get(key)
+                    if state is None:
+                        state = moves[key] = self._move(key >> 32, token)
+                ends.append((i, j))
         except IndexError:  # one side ends before the other
             return None
-        return ends
+        return ends if j == len(b) else None
 
 
 class Aligner:
     """Texts to groups and links, stretch by stretch."""
 
     def __init__(self, a, b):
-        self.a, self.b, self.transducer = a, b, DanglingSuffix(a.bytes, b.bytes)
+        self.sides, self.transducer = (a, b), DanglingSuffix(a.bytes, b.bytes)
+        self.sizes = [np.array([len(x) for x in side.bytes]) for side in self.sides]
         self.seen: dict[str, tuple | None] = {}
         self.held = 0
 
-    def _worked_out(self, stretches: list[str]):
-        """For each stretch (groups as text, tokens of a, tokens of b, groups, id pairs of all links, links' numbers or
-        none where each is listed) or None where a side does not give back the bytes."""
-        for text, a, b in zip(stretches, self.a.encode(stretches), self.b.encode(stretches)):
-            whole = text.encode()
-            a_bytes, b_bytes = self.transducer.sides
-            same = all(b"".join([of.get(t, b"") for t in ids]) == whole and all(of.get(t) for t in ids) for of, ids in ((a_bytes, a), (b_bytes, b)))
-            ends = self.transducer.groups(a, b) if same else None
-            yield None if ends is None else self._linked(a, b, ends)
+    def _worked_out(self, stretches: list[str]) -> list[tuple | None]:
+        """For each stretch (groups as text, tokens of a, tokens of b, groups, id pairs of the links, large groups' pairs
+        with their numbers or None), or None where a side does not give back the bytes. The stretches are encoded as one
+        text; where that does not give back the bytes, halves of them are, down to the one at fault."""
+        whole = "".join(stretches)
+        raw = whole.encode()
+        ids = [side.encode(whole) for side in self.sides]
+        same = all(b"".join(map(side.bytes.__getitem__, tokens)) == raw and size[tokens].all() for side, size, tokens in zip(self.sides, self.sizes, ids))
+        ends = self.transducer.groups(*ids) if same else None
+        stops = np.cumsum([len(x.encode()) for x in stretches])
+        if ends:
+            places = np.cumsum(self.sizes[0][ids[0]])[[i - 1 for i, _ in ends]]
+            groups = np.searchsorted(places, stops)
+            if (groups < len(places)).all() and (places[np.minimum(groups, len(places) - 1)] == stops).all():
+                return self._linked(*ids, ends, groups + 1)
+        if len(stretches) == 1:
+            return [None]
+        half = len(stretches) // 2
+        return self._worked_out(stretches[:half]) + self._worked_out(stretches[half:])
 
     @staticmethod
-    def _linked(a, b, ends):
-        out, listed, summed, i, j = [], [], [], 0, 0
+    def _linked(a: list[int], b: list[int], ends: list[tuple[int, int]], stops: np.ndarray) -> list[tuple]:
+        """stops: how many groups end with each stretch or before."""
+        shown, i, j = [], 0, 0
         for i2, j2 in ends:
-            left, right = a[i:i2], b[j:j2]
-            out.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-            if len(left) * len(right) <= LARGE_GROUP:
-                listed += [x << 32 | y for x in left for y in right]
+            if i2 - i == 1 and j2 - j == 1:
+                shown.append(f"{a[i]}|{b[j]}")
             else:
-                (x, n), (y, m) = (np.unique(np.array(side, np.int64), return_counts=True) for side in (left, right))
-                summed.append((((x << 32)[:, None] | y).ravel(), (n[:, None] * m).ravel()))
+                shown.append(f"{','.join(map(str, a[i:i2]))}|{','.join(map(str, b[j:j2]))}")
             i, j = i2, j2
-        return ";".join(out), len(a), len(b), len(ends), np.array(listed, np.int64).tobytes(), summed or None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        stop = np.array(ends, np.int64)
+        start = np.concatenate((np.zeros((1, 2), np.int64), stop[:-1]))
+        n, m = (stop - start).T
+        large = np.flatnonzero(n * m > LARGE_GROUP)
+        links = n * m
+        links[large] = 0
+        group, past = np.repeat(np.arange(len(ends)), links), np.cumsum(links)
+        k = np.arange(len(group)) - (past - links)[group]
+        listed = (a[start[group, 0] + k // m[group]] << 32 | b[start[group, 1] + k % m[group]]).tobytes()
+        summed: dict[int, list] = {}
+        for g in large.tolist():
+            (x, p), (y, q) = (np.unique(side[start[g, c] : stop[g, c]], return_counts=True) for c, side in enumerate((a, b)))
+            summed.setdefault(int(np.searchsorted(stops, g, "right")), []).append((((x << 32)[:, None] | y).ravel(), (p[:, None] * q).ravel()))
+        past, stop = [0, *(8 * past[stops - 1]).tolist()], [(0, 0), *map(tuple, stop[stops - 1].tolist())]
+        cuts = [0, *stops.tolist()]
+        return [
+            (";".join(shown[g:h]), stop[k + 1][0] - stop[k][0], stop[k + 1][1] - stop[k][1], h - g, listed[past[k] : past[k + 1]], summed.get(k))
+            for k, (g, h) in enumerate(zip(cuts, cuts[1:]))
+        ]
+
+    def _learn(self, new: list[str]) -> list[str]:
+        """Works out new stretches; returns those that are too long to be remembered."""
+        joined = [s for s in new if OPEN_END.search(s)]
+        alone = set(new).difference(joined)
+        for some in [*(joined[k : k + JOINED] for k in range(0, len(joined), JOINED)), *([s] for s in alone)]:
+            for stretch, found in zip(some, self._worked_out(some)):
+                self.seen[stretch] = found
+                self.held += 4 * len(stretch) + STRETCH_OVERHEAD + (len(found[0]) + len(found[4]) if found else 0)
+        return [s for s in new if len(s) > LONGEST_REMEMBERED]
 
     def align(self, texts: list[str]):
         """A row for each text: (n_a, n_b, n_groups, sha256 of the groups, distinct id pairs, links of each)."""
@@ -171,13 +219,7 @@ class Aligner:
             self.seen.clear()
             self.held = 0
         seen, split = self.seen, [CUT.split(" " + text) if text else [] for text in texts]
-        new, long = list(set(chain.from_iterable(split)).difference(seen)), []
-        for stretch, found in zip(new, self._worked_out(new)):
-            seen[stretch] = found
-            if len(stretch) > LONGEST_REMEMBERED:
-                long.append(stretch)
-            else:
-                self.held += 4 * len(stretch) + STRETCH_OVERHEAD + (len(found[0]) + len(found[4]) if found else 0)
+        long = self._learn(list(set(chain.from_iterable(split)).difference(seen)))
         none = np.empty(0, np.int64)
         for stretches in split:
             rows = [seen[s] for s in stretches]

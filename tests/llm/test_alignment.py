@@ -108,14 +108,14 @@ def test_parts_of_a_batch_and_forgetting(spark, monkeypatch):
     aligner = T.Aligner(T.ByteLevelTokenizer(raw(A)), T.PieceTokenizer(raw(B)))
     texts = [t or "" for t in ODD]
     once = [(*r[:4], r[4].tolist(), r[5].tolist()) for r in aligner.align(texts)]
-    for name, value in (("MOST_TRANSITIONS", 5), ("REMEMBERED_BYTES", 50), ("LONGEST_REMEMBERED", 2), ("LARGE_GROUP", 1)):
+    for name, value in (("MOST_TRANSITIONS", 5), ("REMEMBERED_BYTES", 50), ("LONGEST_REMEMBERED", 2), ("LARGE_GROUP", 1), ("JOINED", 3)):
         monkeypatch.setattr(T, name, value)
     again = [(*r[:4], r[4].tolist(), r[5].tolist()) for t in texts for r in aligner.align([t])]
     assert once == again
 
 
 def test_transducer_closes_groups_only_on_nothing_left():
-    side_a, side_b = {0: b"ab", 1: b"c", 2: b"abc"}, {0: b"a", 1: b"bc", 2: b"abc", 3: b"x"}
+    side_a, side_b = [b"ab", b"c", b"abc"], [b"a", b"bc", b"abc", b"x"]
     t = T.DanglingSuffix(side_a, side_b)
     assert t.groups([0, 1, 2], [0, 1, 2]) == [(2, 2), (3, 3)]
     assert t.groups([0, 1], [3, 1]) is None and t.groups([0], [0]) is None and t.groups([2], [2, 0]) is None
