@@ -10,6 +10,7 @@ white space. A stretch between cuts begins and ends with nothing left over, so i
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -20,18 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import MOST_VOCABULARY_BYTES, _once, in_chunks
+from .bpe import MOST_VOCABULARY_BYTES, PATTERN, _once, in_chunks
 from .scratch import Scratch
 
 #: Places where texts may be cut: a space after a character that no engine counts as white space, unless only spaces
 #: follow; and ends after which another stretch may be put.
 SOLID = r"[^\s\u180e\u200b\u2581\ufeff]"
 CUT, OPEN_END = re.compile(f"(?<={SOLID})(?= +[^ ])"), re.compile(rf"{SOLID}\Z")
-#: Transitions and bytes of stretches that a Python worker remembers; beyond them the memory starts afresh. Longer
-#: stretches than LONGEST_REMEMBERED characters are worked out whenever they occur.
-MOST_TRANSITIONS, REMEMBERED_BYTES, STRETCH_OVERHEAD, LONGEST_REMEMBERED = 1_000_000, 64 << 20, 500, 100
+#: Transitions and bytes of stretches that a Python worker remembers, the stretches in two halves of which the older is
+#: dropped when the newer is full. Longer stretches than LONGEST_REMEMBERED characters are worked out whenever they occur.
+MOST_TRANSITIONS, REMEMBERED_BYTES, STRETCH_OVERHEAD, LONGEST_REMEMBERED = 1_000_000, 96 << 20, 400, 100
 #: Characters of texts whose new stretches are worked out together, and stretches that are encoded as one text.
 CHUNK_CHARS, JOINED = 500_000, 1_000
+#: Characters that engines may class differently, and the length from which a text is long.
+UNSETTLED, SHORT = re.compile("[^\x00-\u052f\u2000-\u206f]"), 100_000
 #: Groups with more links than this are summed by distinct ids before links are written out.
 LARGE_GROUP = 1 << 10
 #: Pairs of ids whose counts are sent to every task; the counts of the others are joined.
@@ -42,22 +45,34 @@ MOST_SENT_PAIRS = 1 << 20
 
 
 class ByteLevelTokenizer:
-    """A byte-level BPE file of the tokenizers library; special tokens' strings in texts are plain text."""
+    """A byte-level BPE file of the tokenizers library; special tokens' strings in texts are plain text.
+
+    Where the file's merges stand in the order of their ids, the ids are ranks, and texts of long-settled characters are
+    encoded by the faster library of ranks; all others, and long ones, by the file's own."""
 
     def __init__(self, raw: bytes):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(raw.decode())
         self.model.encode_special_tokens = True
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow 255
         byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
-        vocabulary = json.loads(raw)["model"]["vocab"]
+        model = json.loads(raw)["model"]
+        vocabulary = model["vocab"]
         self.bytes = [b""] * (max(vocabulary.values()) + 1)  # ids without bytes stay empty
         for token, i in vocabulary.items():
             if all(c in byte_of for c in token):
                 self.bytes[i] = bytes(byte_of[c] for c in token)
+        merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        ranks = {x: i for i, x in enumerate(self.bytes) if x}
+        self.ranked = None
+        if merged == sorted(merged) and len(ranks) == 256 + len(merged):
+            self.ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
+        if self.ranked is not None and len(text) <= SHORT and not UNSETTLED.search(text):
+            return self.ranked.encode_ordinary(text)
         return self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
@@ -110,12 +125,12 @@ class DanglingSuffix:
             return self._state(1 - side, added[len(residual) :])
         return -1
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
-        """Where each group ends in a and in b; None if the two sides' bytes differ. No token is without bytes."""
+    def groups(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]] | None:
+        """Where each group ends in a, and where in b; None if the two sides' bytes differ. No token is without bytes."""
         if len(self.moves) + len(self.openings) > MOST_TRANSITIONS:
             self.forget()
-        moves, openings, states, ends = self.moves, self.openings, self.states, []
-        i = j = 0
+        moves, openings, states = self.moves, self.openings, self.states
+        a_ends, b_ends, i, j = [], [], 0, 0
         try:
             while i < len(a):
                 key = a[i] << 32 | b[j]  # a group opens with a token of either side: two moves in one
@@ -137,10 +152,11 @@ class DanglingSuffix:
                     state = moves.get(key)
                     if state is None:
                         state = moves[key] = self._move(key >> 32, token)
-                ends.append((i, j))
+                a_ends.append(i)
+                b_ends.append(j)
         except IndexError:  # one side ends before the other
             return None
-        return ends if j == len(b) else None
+        return (a_ends, b_ends) if j == len(b) else None
 
 
 class Aligner:
@@ -150,6 +166,7 @@ class Aligner:
         self.sides, self.transducer = (a, b), DanglingSuffix(a.bytes, b.bytes)
         self.sizes = [np.array([len(x) for x in side.bytes]) for side in self.sides]
         self.seen: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}  # remembered before `seen`; what is met again is taken over
         self.held = 0
 
     def _worked_out(self, stretches: list[str]) -> list[tuple | None]:
@@ -163,78 +180,94 @@ class Aligner:
         ends = self.transducer.groups(*ids) if same else None
         stops = np.cumsum([len(x.encode()) for x in stretches])
         if ends:
-            places = np.cumsum(self.sizes[0][ids[0]])[[i - 1 for i, _ in ends]]
+            stop = np.array(ends, np.int64)
+            places = np.cumsum(self.sizes[0][ids[0]])[stop[0] - 1]
             groups = np.searchsorted(places, stops)
             if (groups < len(places)).all() and (places[np.minimum(groups, len(places) - 1)] == stops).all():
-                return self._linked(*ids, ends, groups + 1)
+                return self._linked(*ids, *ends, stop, groups + 1)
         if len(stretches) == 1:
             return [None]
         half = len(stretches) // 2
         return self._worked_out(stretches[:half]) + self._worked_out(stretches[half:])
 
     @staticmethod
-    def _linked(a: list[int], b: list[int], ends: list[tuple[int, int]], stops: np.ndarray) -> list[tuple]:
-        """stops: how many groups end with each stretch or before."""
+    def _linked(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int], stop: np.ndarray, stops: np.ndarray) -> list[tuple]:
+        """stop: the ends as an array; stops: how many groups end with each stretch or before."""
         shown, i, j = [], 0, 0
-        for i2, j2 in ends:
-            if i2 - i == 1 and j2 - j == 1:
+        for i2, j2 in zip(a_ends, b_ends):
+            if i2 - i == 1 == j2 - j:
                 shown.append(f"{a[i]}|{b[j]}")
             else:
                 shown.append(f"{','.join(map(str, a[i:i2]))}|{','.join(map(str, b[j:j2]))}")
             i, j = i2, j2
         a, b = np.array(a, np.int64), np.array(b, np.int64)
-        stop = np.array(ends, np.int64)
-        start = np.concatenate((np.zeros((1, 2), np.int64), stop[:-1]))
-        n, m = (stop - start).T
+        start = np.concatenate((np.zeros((2, 1), np.int64), stop[:, :-1]), axis=1)
+        n, m = stop - start
         large = np.flatnonzero(n * m > LARGE_GROUP)
         links = n * m
         links[large] = 0
-        group, past = np.repeat(np.arange(len(ends)), links), np.cumsum(links)
+        group, past = np.repeat(np.arange(len(n)), links), np.cumsum(links)
         k = np.arange(len(group)) - (past - links)[group]
-        listed = (a[start[group, 0] + k // m[group]] << 32 | b[start[group, 1] + k % m[group]]).tobytes()
+        width = m[group]
+        left = k // width
+        listed = (a[start[0][group] + left] << 32 | b[start[1][group] + k - left * width]).tobytes()
         summed: dict[int, list] = {}
         for g in large.tolist():
-            (x, p), (y, q) = (np.unique(side[start[g, c] : stop[g, c]], return_counts=True) for c, side in enumerate((a, b)))
+            (x, p), (y, q) = (np.unique(side[start[c, g] : stop[c, g]], return_counts=True) for c, side in enumerate((a, b)))
             summed.setdefault(int(np.searchsorted(stops, g, "right")), []).append((((x << 32)[:, None] | y).ravel(), (p[:, None] * q).ravel()))
-        past, stop = [0, *(8 * past[stops - 1]).tolist()], [(0, 0), *map(tuple, stop[stops - 1].tolist())]
-        cuts = [0, *stops.tolist()]
+        last, first = stops - 1, np.concatenate(([0], stops[:-1]))
+        n_a, n_b = (stop[:, last] - start[:, first]).tolist()
+        ends = (8 * past[last]).tolist()
         return [
-            (";".join(shown[g:h]), stop[k + 1][0] - stop[k][0], stop[k + 1][1] - stop[k][1], h - g, listed[past[k] : past[k + 1]], summed.get(k))
-            for k, (g, h) in enumerate(zip(cuts, cuts[1:]))
-        ]
+            (";".join(shown[g:h]), x, y, h - g, listed[p:q], summed.get(k))
+            for k, (g, h, x, y, p, q) in enumerate(zip(first.tolist(), stops.tolist(), n_a, n_b, [0, *ends], ends))
+        ]
+
+    def _remember(self, stretch: str, found: tuple | None) -> None:
+        self.seen[stretch] = found
+        self.held += 2 * len(stretch) + STRETCH_OVERHEAD + (len(found[0]) + len(found[4]) if found else 0)
 
     def _learn(self, new: list[str]) -> list[str]:
-        """Works out new stretches; returns those that are too long to be remembered."""
-        joined = [s for s in new if OPEN_END.search(s)]
-        alone = set(new).difference(joined)
+        """Takes over old stretches and works out new ones; returns those that are too long to be remembered."""
+        joined, alone = [], []
+        for s in new:
+            if s in self.old:
+                self._remember(s, self.old.pop(s))
+            else:
+                (joined if OPEN_END.search(s) else alone).append(s)
         for some in [*(joined[k : k + JOINED] for k in range(0, len(joined), JOINED)), *([s] for s in alone)]:
             for stretch, found in zip(some, self._worked_out(some)):
-                self.seen[stretch] = found
-                self.held += 4 * len(stretch) + STRETCH_OVERHEAD + (len(found[0]) + len(found[4]) if found else 0)
+                self._remember(stretch, found)
         return [s for s in new if len(s) > LONGEST_REMEMBERED]
 
     def align(self, texts: list[str]):
         """A row for each text: (n_a, n_b, n_groups, sha256 of the groups, distinct id pairs, links of each)."""
-        if self.held > REMEMBERED_BYTES:
-            self.seen.clear()
-            self.held = 0
-        seen, split = self.seen, [CUT.split(" " + text) if text else [] for text in texts]
-        long = self._learn(list(set(chain.from_iterable(split)).difference(seen)))
-        none = np.empty(0, np.int64)
+        if self.held > REMEMBERED_BYTES // 2:
+            self.old, self.seen, self.held = self.seen, {}, 0
+        split = [CUT.split(" " + text) if text else [] for text in texts]
+        names = list(set(chain.from_iterable(split)))
+        seen, long = self.seen, self._learn([s for s in names if s not in self.seen])
+        empty, at = ("", 0, 0, 0, b"", None), dict(zip(names, range(len(names))))
+        known = [seen[s] for s in names]
+        fails = {k for k, found in enumerate(known) if found is None}
+        shown, n_a, n_b, n_groups, listed, summed = zip(*(found or empty for found in known)) if known else ((),) * 6
+        large = {k for k, found in enumerate(summed) if found}
+        counts, none = np.array([n_a, n_b, n_groups], np.int64), np.empty(0, np.int64)
         for stretches in split:
-            rows = [seen[s] for s in stretches]
-            if not rows or None in rows:
+            here = list(map(at.__getitem__, stretches))
+            if not here or not fails.isdisjoint(here):
                 yield 0, 0, 0, "", none, none
                 continue
-            shown, n_a, n_b, n_groups, listed, summed = zip(*rows)
-            pairs, times = np.unique(np.frombuffer(b"".join(listed), np.int64), return_counts=True)
-            more = [x for s in summed if s for x in s]
+            pairs, times = np.unique(np.frombuffer(b"".join(map(listed.__getitem__, here)), np.int64), return_counts=True)
+            more = [x for k in here if k in large for x in summed[k]] if large else []
             if more:
                 both = np.concatenate([pairs, *(p for p, _ in more)])
-                pairs, at = np.unique(both, return_inverse=True)
-                weight, times = np.concatenate([times, *(m for _, m in more)]), np.zeros(len(pairs), np.int64)
-                np.add.at(times, at.reshape(-1), weight)
-            yield sum(n_a), sum(n_b), sum(n_groups), hashlib.sha256(";".join(shown).encode()).hexdigest(), pairs, times
+                weight = np.concatenate([times, *(m for _, m in more)])
+                pairs, place = np.unique(both, return_inverse=True)
+                times = np.zeros(len(pairs), np.int64)
+                np.add.at(times, place.reshape(-1), weight)
+            sha = hashlib.sha256(";".join(map(shown.__getitem__, here)).encode()).hexdigest()
+            yield *counts[:, here].sum(axis=1).tolist(), sha, pairs, times
         for stretch in long:
             del seen[stretch]
 
@@ -270,7 +303,9 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
         for batch in batches:
             at = 0
             for texts in in_chunks(batch["text"], CHUNK_CHARS):
+                gc.disable()  # nothing here refers to itself, and collections would go through all that is remembered
                 n_a, n_b, groups, sha, pairs, times = zip(*aligner.align(texts))
+                gc.enable()
                 here = slice(at, at := at + len(texts))
                 longs = [pa.array(x, pa.int64()) for x in (n_a, n_b, groups)]
                 ids = [batch[c][here.start : here.stop] for c in ("doc_id", "uid")]
