@@ -25,12 +25,12 @@ from .bpe import MOST_VOCABULARY_BYTES, PATTERN, _once, in_chunks
 from .scratch import Scratch
 
 #: Places where texts may be cut: a space after a character that no engine counts as white space, unless only spaces
-#: follow; and ends after which another stretch may be put.
-SOLID = r"[^\s\u180e\u200b\u2581\ufeff]"
-CUT, OPEN_END = re.compile(f"(?<={SOLID})(?= +[^ ])"), re.compile(rf"{SOLID}\Z")
+#: follow; ends after which another stretch may be put; and what a text has if it can't be cut at all its spaces.
+LOOSE = r"\s\u180e\u200b\u2581\ufeff"
+CUT, OPEN_END, UNEVEN = re.compile(f"(?<=[^{LOOSE}])(?= +[^ ])"), re.compile(rf"[^{LOOSE}]\Z"), re.compile(rf"(?:\A|[{LOOSE}]) | \Z")
 #: Transitions and bytes of stretches that a Python worker remembers, the stretches in two halves of which the older is
 #: dropped when the newer is full. Longer stretches than LONGEST_REMEMBERED characters are worked out whenever they occur.
-MOST_TRANSITIONS, REMEMBERED_BYTES, STRETCH_OVERHEAD, LONGEST_REMEMBERED = 1_000_000, 96 << 20, 400, 100
+MOST_TRANSITIONS, REMEMBERED_BYTES, STRETCH_OVERHEAD, LONGEST_REMEMBERED = 1_000_000, 128 << 20, 400, 100
 #: Characters of texts whose new stretches are worked out together, and stretches that are encoded as one text.
 CHUNK_CHARS, JOINED = 500_000, 1_000
 #: Characters that engines may class differently, and the length from which a text is long.
@@ -159,8 +159,13 @@ class DanglingSuffix:
         return (a_ends, b_ends) if j == len(b) else None
 
 
+def stretches_of(text: str) -> list[str]:
+    """The stretches of a space and a text that is not empty, each without the space that it begins with."""
+    return [s[1:] for s in CUT.split(" " + text)] if UNEVEN.search(text) else text.split(" ")
+
+
 class Aligner:
-    """Texts to groups and links, stretch by stretch."""
+    """Texts to groups and links, stretch by stretch. Stretches go without their first space."""
 
     def __init__(self, a, b):
         self.sides, self.transducer = (a, b), DanglingSuffix(a.bytes, b.bytes)
@@ -173,12 +178,12 @@ class Aligner:
         """For each stretch (groups as text, tokens of a, tokens of b, groups, id pairs of the links, large groups' pairs
         with their numbers or None), or None where a side does not give back the bytes. The stretches are encoded as one
         text; where that does not give back the bytes, halves of them are, down to the one at fault."""
-        whole = "".join(stretches)
+        whole = " " + " ".join(stretches)
         raw = whole.encode()
         ids = [side.encode(whole) for side in self.sides]
         same = all(b"".join(map(side.bytes.__getitem__, tokens)) == raw and size[tokens].all() for side, size, tokens in zip(self.sides, self.sizes, ids))
         ends = self.transducer.groups(*ids) if same else None
-        stops = np.cumsum([len(x.encode()) for x in stretches])
+        stops = np.cumsum([len(x.encode()) + 1 for x in stretches])
         if ends:
             stop = np.array(ends, np.int64)
             places = np.cumsum(self.sizes[0][ids[0]])[stop[0] - 1]
@@ -244,11 +249,11 @@ class Aligner:
         """A row for each text: (n_a, n_b, n_groups, sha256 of the groups, distinct id pairs, links of each)."""
         if self.held > REMEMBERED_BYTES // 2:
             self.old, self.seen, self.held = self.seen, {}, 0
-        split = [CUT.split(" " + text) if text else [] for text in texts]
-        names = list(set(chain.from_iterable(split)))
-        seen, long = self.seen, self._learn([s for s in names if s not in self.seen])
+        split = [stretches_of(text) if text else [] for text in texts]
+        names, seen = set(chain.from_iterable(split)), self.seen
+        long = self._learn(list(names.difference(seen)))
         empty, at = ("", 0, 0, 0, b"", None), dict(zip(names, range(len(names))))
-        known = [seen[s] for s in names]
+        known = list(map(seen.__getitem__, names))
         fails = {k for k, found in enumerate(known) if found is None}
         shown, n_a, n_b, n_groups, listed, summed = zip(*(found or empty for found in known)) if known else ((),) * 6
         large = {k for k, found in enumerate(summed) if found}

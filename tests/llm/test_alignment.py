@@ -114,6 +114,13 @@ def test_parts_of_a_batch_and_forgetting(spark, monkeypatch):
     assert once == again
 
 
+def test_stretches_make_the_text():
+    for text in filter(None, ODD + ["plain words here", "two  spaces", "tab\t after", "x ", " y"]):
+        stretches = T.stretches_of(text)
+        assert "".join(" " + s for s in stretches) == " " + text
+        assert stretches == [s[1:] for s in T.CUT.split(" " + text)]
+
+
 def test_transducer_closes_groups_only_on_nothing_left():
     side_a, side_b = [b"ab", b"c", b"abc"], [b"a", b"bc", b"abc", b"x"]
     t = T.DanglingSuffix(side_a, side_b)
