@@ -25,12 +25,15 @@ from .bpe import MOST_VOCABULARY_BYTES, PATTERN, _once, in_chunks
 from .scratch import Scratch
 
 #: Places where texts may be cut: a space after a character that no engine counts as white space, unless only spaces
-#: follow; ends after which another stretch may be put; and what a text has if it can't be cut at all its spaces.
-LOOSE = r"\s\u180e\u200b\u2581\ufeff"
-CUT, OPEN_END, UNEVEN = re.compile(f"(?<=[^{LOOSE}])(?= +[^ ])"), re.compile(rf"[^{LOOSE}]\Z"), re.compile(rf"(?:\A|[{LOOSE}]) | \Z")
+#: follow; ends, besides white space, after which no stretch may be put; and what a text has if it can't be cut at all
+#: its spaces.
+OPEN_ENDS = ("", "\u180e", "\u200b", "\u2581", "\ufeff")
+LOOSE = rf"\s{''.join(OPEN_ENDS)}"
+CUT, UNEVEN = re.compile(f"(?<=[^{LOOSE}])(?= +[^ ])"), re.compile(rf"(?:\A|[{LOOSE}]) | \Z")
 #: Transitions and bytes of stretches that a Python worker remembers, the stretches in two halves of which the older is
 #: dropped when the newer is full. Longer stretches than LONGEST_REMEMBERED characters are worked out whenever they occur.
-MOST_TRANSITIONS, REMEMBERED_BYTES, STRETCH_OVERHEAD, LONGEST_REMEMBERED = 1_000_000, 128 << 20, 400, 100
+MOST_TRANSITIONS, REMEMBERED_BYTES, LONGEST_REMEMBERED = 1_000_000, 128 << 20, 100
+STRETCH_OVERHEAD, CHAR_OVERHEAD = 400, 16  # bytes, about, besides the stretch, and for each of its characters
 #: Characters of texts whose new stretches are worked out together, and stretches that are encoded as one text.
 CHUNK_CHARS, JOINED = 500_000, 1_000
 #: Characters that engines may class differently, and the length from which a text is long.
@@ -228,21 +231,17 @@ class Aligner:
             for k, (g, h, x, y, p, q) in enumerate(zip(first.tolist(), stops.tolist(), n_a, n_b, [0, *ends], ends))
         ]
 
-    def _remember(self, stretch: str, found: tuple | None) -> None:
-        self.seen[stretch] = found
-        self.held += 2 * len(stretch) + STRETCH_OVERHEAD + (len(found[0]) + len(found[4]) if found else 0)
-
-    def _learn(self, new: list[str]) -> list[str]:
+    def _learn(self, new: set[str]) -> list[str]:
         """Takes over old stretches and works out new ones; returns those that are too long to be remembered."""
-        joined, alone = [], []
-        for s in new:
-            if s in self.old:
-                self._remember(s, self.old.pop(s))
-            else:
-                (joined if OPEN_END.search(s) else alone).append(s)
+        seen, old = self.seen, self.old
+        known = new.intersection(old)
+        seen.update((s, old[s]) for s in known)
+        new = new.difference(known)
+        alone = [s for s in new if s[-1:].isspace() or s[-1:] in OPEN_ENDS]
+        joined = list(new.difference(alone))
         for some in [*(joined[k : k + JOINED] for k in range(0, len(joined), JOINED)), *([s] for s in alone)]:
-            for stretch, found in zip(some, self._worked_out(some)):
-                self._remember(stretch, found)
+            seen.update(zip(some, self._worked_out(some)))
+        self.held += STRETCH_OVERHEAD * (len(new) + len(known)) + CHAR_OVERHEAD * (sum(map(len, new)) + sum(map(len, known)))
         return [s for s in new if len(s) > LONGEST_REMEMBERED]
 
     def align(self, texts: list[str]):
@@ -251,7 +250,7 @@ class Aligner:
             self.old, self.seen, self.held = self.seen, {}, 0
         split = [stretches_of(text) if text else [] for text in texts]
         names, seen = set(chain.from_iterable(split)), self.seen
-        long = self._learn(list(names.difference(seen)))
+        long = self._learn(names.difference(seen))
         empty, at = ("", 0, 0, 0, b"", None), dict(zip(names, range(len(names))))
         known = list(map(seen.__getitem__, names))
         fails = {k for k, found in enumerate(known) if found is None}
