@@ -184,31 +184,33 @@ class Aligner:
         whole = " " + " ".join(stretches)
         raw = whole.encode()
         ids = [side.encode(whole) for side in self.sides]
-        same = all(b"".join(map(side.bytes.__getitem__, tokens)) == raw and size[tokens].all() for side, size, tokens in zip(self.sides, self.sizes, ids))
+        arrays = [np.array(tokens, np.int64) for tokens in ids]
+        sizes = [size[tokens] for size, tokens in zip(self.sizes, arrays)]
+        # side b gives back the bytes, and so does side a if the transducer finds nothing that differs
+        same = b"".join(map(self.sides[1].bytes.__getitem__, ids[1])) == raw and all(size.all() for size in sizes)
         ends = self.transducer.groups(*ids) if same else None
-        stops = np.cumsum([len(x.encode()) + 1 for x in stretches])
         if ends:
-            stop = np.array(ends, np.int64)
-            places = np.cumsum(self.sizes[0][ids[0]])[stop[0] - 1]
+            stops = np.cumsum(np.fromiter((len(x.encode()) + 1 for x in stretches), np.int64, len(stretches)))
+            stop, places = np.array(ends, np.int64), np.cumsum(sizes[0])
+            places = places[stop[0] - 1]
             groups = np.searchsorted(places, stops)
-            if (groups < len(places)).all() and (places[np.minimum(groups, len(places) - 1)] == stops).all():
-                return self._linked(*ids, *ends, stop, groups + 1)
+            if (places[np.minimum(groups, len(places) - 1)] == stops).all():
+                return self._linked(*ids, *arrays, stop, groups + 1)
         if len(stretches) == 1:
             return [None]
         half = len(stretches) // 2
         return self._worked_out(stretches[:half]) + self._worked_out(stretches[half:])
 
     @staticmethod
-    def _linked(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int], stop: np.ndarray, stops: np.ndarray) -> list[tuple]:
-        """stop: the ends as an array; stops: how many groups end with each stretch or before."""
+    def _linked(a_ids: list[int], b_ids: list[int], a: np.ndarray, b: np.ndarray, stop: np.ndarray, stops: np.ndarray) -> list[tuple]:
+        """The ids twice; stop: where groups end in both; stops: how many groups end with each stretch or before."""
         shown, i, j = [], 0, 0
-        for i2, j2 in zip(a_ends, b_ends):
+        for i2, j2 in zip(*stop.tolist()):
             if i2 - i == 1 == j2 - j:
-                shown.append(f"{a[i]}|{b[j]}")
+                shown.append(f"{a_ids[i]}|{b_ids[j]}")
             else:
-                shown.append(f"{','.join(map(str, a[i:i2]))}|{','.join(map(str, b[j:j2]))}")
+                shown.append(f"{','.join(map(str, a_ids[i:i2]))}|{','.join(map(str, b_ids[j:j2]))}")
             i, j = i2, j2
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
         start = np.concatenate((np.zeros((2, 1), np.int64), stop[:, :-1]), axis=1)
         n, m = stop - start
         large = np.flatnonzero(n * m > LARGE_GROUP)
