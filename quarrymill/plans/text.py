@@ -197,11 +197,12 @@ def chunk_offsets(spark: SparkSession, d: str) -> DataFrame:
 _BEHIND = "CASE WHEN strpos(reverse(p), reverse({d})) BETWEEN 1 AND len(p) - len({d}) THEN len(p) - strpos(reverse(p), reverse({d})) + 1 END"
 _ENDS = ", ".join(_BEHIND.format(d=d) for d in ("chr(10) || chr(10)", "chr(10)", "'. '", "'? '", "'! '"))
 _END = f"place + coalesce(list_max(list_filter([{_ENDS}], lambda x: x > 600)), 1200)"
-CHUNKS_SQL = rf"""
-WITH RECURSIVE b AS (SELECT doc_id, regexp_replace(text, '^{T.SPACE}+|{T.SPACE}+$', '', 'g') AS body FROM documents),
+CHUNK_CTES = rf"""b AS (SELECT doc_id, regexp_replace(text, '^{T.SPACE}+|{T.SPACE}+$', '', 'g') AS body FROM documents),
 c AS (SELECT doc_id, body, 0 AS chunk, CAST(0 AS BIGINT) AS place FROM b WHERE body <> ''
   UNION ALL SELECT doc_id, body, chunk + 1, stop - 200 FROM (SELECT *, {_END} AS stop FROM (SELECT *, substr(body, place + 1, 1200) AS p FROM c)) WHERE place + 1200 < len(body)),
-e AS (SELECT *, CASE WHEN place + 1200 < len(body) THEN {_END} ELSE len(body) END AS stop FROM (SELECT *, substr(body, place + 1, 1200) AS p FROM c))
+e AS (SELECT *, CASE WHEN place + 1200 < len(body) THEN {_END} ELSE len(body) END AS stop FROM (SELECT *, substr(body, place + 1, 1200) AS p FROM c))"""
+CHUNKS_SQL = rf"""
+WITH RECURSIVE {CHUNK_CTES}
 SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(place AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, md5(regexp_replace(substr(body, place + 1, stop - place), '^{T.SPACE}+|{T.SPACE}+$', '', 'g')) AS text_md5 FROM e
 """
 
