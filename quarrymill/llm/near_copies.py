@@ -21,8 +21,9 @@ from .scratch import Scratch
 
 WIDTH, LIKENESS = 5, (4, 5)  # likeness as a fraction, compared in whole numbers
 BANDS, ROWS = 20, 4
-#: Rounds in which the members of a bucket meet one of them only; what is left unjoined then meets in blocks of so many.
-ROUNDS, BLOCK = 1, 128
+#: Rounds in which the members of a bucket meet one of them only; what is left unjoined then meets in blocks of so many
+#: bytes of text.
+ROUNDS, BLOCK = 1, 4 << 20
 #: Texts that one task compares with one text.
 GROUP = 512
 _RNG = np.random.default_rng(42)
@@ -102,22 +103,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, likeness: tuple[in
 
 
 def _block_links(open_: DataFrame, texts: DataFrame, width: int, likeness: tuple[int, int]) -> DataFrame:
-    """Links between the members (bucket, node, component) of a bucket that are of different components, compared block
-    by block, each pair of blocks in a place of its own."""
+    """Links between the members (bucket, node, component, size) of a bucket that are of different components, compared
+    block by block, each pair of blocks in a place of its own. Two members of several buckets are compared in one."""
 
     def compare(table):
-        nodes, label = table["node"].to_numpy(), table["component"].to_numpy().copy()
+        nodes, label, bucket = table["node"].to_numpy(), table["component"].to_numpy().copy(), table["bucket"][0].as_py()
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        here = int(np.flatnonzero(bands[0] == bucket)[0])
         sets, us, vs = [set_of(t.as_py() or b"", width) for t in table["text"].cast(pa.binary())], [], []
         for a in range(len(nodes)):
-            for b in range(a):
+            met_before = (bands[:a, :here] == bands[a, :here]).any(axis=1)
+            for b in np.flatnonzero(~met_before & (label[:a] != label[a])).tolist():
                 if label[a] != label[b] and _alike(sets[a], sets[b], likeness):
                     us.append(nodes[a])
                     vs.append(nodes[b])
                     label[label == label[a]] = label[b]
         return pa.table(_pair(us, vs).columns, names=["u", "v"])
 
-    blocks = open_.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    dealt = open_.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "n").cast("int"))
+    blocks = open_.groupBy("bucket").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("n"))
+    dealt = open_.drop("size").join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "n").cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     placed = paired.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component").join(texts, "node")
     return placed.groupBy("bucket", "i", "j").applyInArrow(lambda table: compare(table), "u long, v long")
@@ -129,11 +133,11 @@ def near_copies(docs: DataFrame, scratch: Scratch, key: str, text: str = "text",
     Texts are linked where the Jaccard likeness of their sets of `width`-word shingles is at least `likeness`. Null and
     empty texts are copies of one another; a text of fewer words is one shingle; very long texts are taken whole; an
     empty table gives an empty one."""
-    sketched = docs.select(F.col(key).alias("key"), _sketch(F.col(text), width).alias("x"))
-    sketched = scratch.keep(sketched.select("key", "x.node", "x.fp", "x.bands"), "sketches")
-    distinct = sketched.groupBy("node").agg(F.min("key").alias("least"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
+    sketched = docs.select(F.col(key).alias("key"), _sketch(F.col(text), width).alias("x"), (F.coalesce(F.octet_length(text), F.lit(0)) + 64).cast("long").alias("size"))
+    sketched = scratch.keep(sketched.select("key", "x.node", "x.fp", "x.bands", "size"), "sketches")
+    distinct = sketched.groupBy("node").agg(F.min("key").alias("least"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), F.max("size").alias("size"))
     distinct = scratch.keep(distinct, "nodes")
-    filed = distinct.select("node", F.explode("bands").alias("bucket"))
+    filed = distinct.select("node", "size", F.explode("bands").alias("bucket"))
     shared = filed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").select("bucket", "head")
     members = scratch.keep(filed.join(shared, "bucket"), "members")
 
@@ -146,12 +150,12 @@ def near_copies(docs: DataFrame, scratch: Scratch, key: str, text: str = "text",
     pairs = scratch.keep(alike.unionByName(close).unionByName(banded).where("u <> v").distinct(), "pairs")
 
     asked = members.select("node").unionByName(pairs.select(F.col("u").alias("node"))).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    asked = asked.join(distinct, "node").select("node", F.col("least").alias(key))
-    texts = scratch.keep(docs.select(key, F.col(text).alias("text")).join(asked, key).select("node", "text"), "texts")
+    asked = asked.join(distinct, "node").select("node", F.col("least").alias(key), "bands")
+    texts = scratch.keep(docs.select(key, F.col(text).alias("text")).join(asked, key).select("node", "text", "bands"), "texts")
     linked = components(scratch.keep(_verified(pairs, texts, width, likeness), "links-0"), scratch)
-    rest = members.where("node <> head").select("bucket", "node")
+    rest = members.where("node <> head").select("bucket", "node", "size")
     for k in range(1, ROUNDS + 1):
-        now = rest.join(linked.withColumnRenamed("component", "c"), "node", "left").select("bucket", "node", F.coalesce("c", "node").alias("component"))
+        now = rest.join(linked.withColumnRenamed("component", "c"), "node", "left").select("bucket", "node", "size", F.coalesce("c", "node").alias("component"))
         first = now.groupBy("bucket").agg(F.min(F.struct("component", "node")).alias("p"), (F.min("component") < F.max("component")).alias("open")).where("open")
         now = scratch.keep(now.join(first.select("bucket", "p"), "bucket"), f"open-{k}")
         if now.isEmpty():
@@ -164,7 +168,7 @@ def near_copies(docs: DataFrame, scratch: Scratch, key: str, text: str = "text",
         more = scratch.keep(more, f"links-{k}")
         if not more.isEmpty():
             linked = components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch)
-        rest = now.where("node <> p.node").select("bucket", "node")
+        rest = now.where("node <> p.node").select("bucket", "node", "size")
 
     placed = distinct.join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
