@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import entities, events, graph, knowledge, memory, records, retrieval, text
+from . import entities, events, graph, knowledge, memory, mentions, records, retrieval, text
 
-_ALL = {**retrieval.QUERIES, **text.QUERIES, **graph.QUERIES, **events.QUERIES, **records.QUERIES, **knowledge.QUERIES, **memory.QUERIES, **entities.QUERIES}
+_ALL = {**retrieval.QUERIES, **text.QUERIES, **graph.QUERIES, **events.QUERIES, **records.QUERIES, **knowledge.QUERIES, **memory.QUERIES, **entities.QUERIES, **mentions.QUERIES}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
