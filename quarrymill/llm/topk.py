@@ -29,6 +29,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~bad, F.lit(False))
 
 
+_NO_KEY = (1 << 63) - 1
 _BLOCK = "dim int, bucket int, block int, longest double, row binary, id binary, x binary, width int"
 
 
@@ -56,7 +57,13 @@ def _unpack(row: dict) -> dict:
 def _products(q: dict, at: np.ndarray, c: dict, rows) -> np.ndarray:
     if q["norm"].max(initial=0) * c["norm"].max(initial=0) < _EXACT:
         return (q["wide"][at] @ c["wide"][rows].T).astype(np.int64)
-    return q["x"][at].astype(np.int64) @ c["x"][rows].astype(np.int64).T
+    if q["norm"].max(initial=0) * c["norm"].max(initial=0) < 1 << 62:
+        return q["x"][at].astype(np.int64) @ c["x"][rows].astype(np.int64).T
+    exact = q["x"][at].astype(object) @ c["x"][rows].astype(object).T  # whole numbers of any size
+    exact[q["row"][at][:, None] == c["row"][rows]] = 0  # a row's product with itself is no result
+    if exact.size and max(exact.max(), -exact.min()) >= 1 << 63:
+        raise OverflowError("a product of two vectors does not fit in 64 bits")
+    return exact.astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -136,9 +143,10 @@ def top_k(rows: DataFrame, key: str, vector: str, is_query: Column, scratch: Scr
 
     vector: array<long>. Rows with null or unusable vectors take no part; vectors of unlike dimension are not
     compared; empty vectors take no part; a row is never its own result, but rows that repeat a key can be results of one another. Products are
-    exact while they fit in 64 bits. Ties go to the smaller key, then the earlier row; an empty table gives an empty
-    one."""
-    good = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    exact, and one that does not fit in 64 bits fails the job. Ties go to the smaller key, a null key last (the largest
+    64-bit key stands for it), then the earlier row. Columns besides the two are not read, whatever their names; an empty
+    table gives an empty one."""
+    good = rows.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY)).alias("id"), F.col(vector).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     good = scratch.keep(good.withColumns({"row": F.monotonically_increasing_id(), "dim": F.size("vector"), "norm": norm}), "rows")
     n = good.count()
@@ -178,10 +186,12 @@ def top_k(rows: DataFrame, key: str, vector: str, is_query: Column, scratch: Scr
     found = pairs.mapInArrow(_results(k), _FOUND)
     order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id", "c_row")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked.select(F.nullif("query_id", F.lit(_NO_KEY)).alias("query_id"), F.col("rank").cast("int").alias("rank"), F.nullif("vec_id", F.lit(_NO_KEY)).alias("vec_id"), "score")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`top_k` over all embeddings; its docstring states nulls, ties, repeated rows and empty tables. Components whose 64th
+    parts do not fit in 64 bits fail the job where a product with them does."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(usable(F.col("embedding")))
     whole = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 64)).alias("vector"))
     return top_k(whole, "vec_id", "vector", F.col("vec_id") % 20 == 0, Scratch(spark, "topk"))

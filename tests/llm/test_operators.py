@@ -368,6 +368,18 @@ def test_topk_prunes_without_loss(spread):
     assert found == {i: np.sort(scores[i])[-5:].tolist() for i in range(300)}
 
 
+def test_topk_of_null_and_large_keys_and_large_numbers(spark):
+    rows = [(None, [3, 0]), (2**60 + 1, [2, 0]), (2**60 + 3, [2, 0]), (7, [1, 0]), (None, [2, 0])]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, vector array<long>, id string, row int")
+    got = topk.top_k(frame, "vec_id", "vector", F.col("vec_id") == 7, Scratch(spark, "t"), 4).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(7, None, 3), (7, 2**60 + 1, 2), (7, 2**60 + 3, 2), (7, None, 2)]
+    big = spark.createDataFrame([(1, [2**31, -(2**31)]), (2, [2**31, 2**31 - 1])], "vec_id long, vector array<long>")
+    assert [r["score"] for r in topk.top_k(big, "vec_id", "vector", F.col("vec_id") == 1, Scratch(spark, "t")).collect()] == [2**31]
+    huge = spark.createDataFrame([(1, [2**40, 0]), (2, [2**40, 0])], "vec_id long, vector array<long>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(huge, "vec_id", "vector", F.col("vec_id") == 1, Scratch(spark, "t")).collect()
+
+
 # ---- chat
 
 
