@@ -311,6 +311,8 @@ def digests(docs: DataFrame, codec: BytePairCodec) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`digests` over all documents; its docstring states nulls, long texts, repeated rows and empty tables. Columns besides
+    doc_id and text, whatever their names, are not read."""
     import public_tokenizers
 
     codec = BytePairCodec(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

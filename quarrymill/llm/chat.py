@@ -145,7 +145,9 @@ def unescape(text: Column) -> Column:
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """Rows (conv_id, turn, role, text) as one row per conversation: conv_id, formatted, loss_spans (start and length
     in code points of the escaped texts that carry loss). Turns are ordered by turn (null first), ties by role and
-    text; repeated rows are repeated turns; null roles and texts count as empty. One shuffle, by conversation."""
+    text; repeated rows are repeated turns; null roles and texts count as empty, long ones are taken whole. Turns without
+    a conversation are one of their own, without an id. Further columns, whatever their names, are not read; an empty
+    table gives an empty one. One shuffle, by conversation."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     escaped = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
@@ -195,6 +197,8 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`format_chats` over all conversations and conversation -1, read back from the formatted text; see there for nulls, ties,
+    repeated rows and empty tables. An empty table leaves conversation -1 alone."""
     rows = canonical_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", ["turn", "role", "text"])
     said = f"{END}{START}assistant ok"
     extra = canonical_turns(spark.range(1).select(F.lit(-1).alias("conv_id"), F.lit(said).alias("prompt"), F.lit(said).alias("completion")), "conv_id")

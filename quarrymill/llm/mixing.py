@@ -215,6 +215,7 @@ def mixed(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`mix` over all documents, one source each, a null source being one too; its docstring states the other cases."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", n_words(F.col("text")).alias("size"), F.array("source").alias("sources"))
     mixed = mix(docs, "doc_id", "sources", "size", Scratch(spark, "mixing"))
     return mixed.select("doc_id", "size", F.col("pattern_size").alias("source_size"), "target", "taken")

@@ -65,6 +65,7 @@ def shard(rows: DataFrame, key: str, n_bytes: str, limit: int, scratch: Scratch)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`shard` over all documents by the bytes of their texts, null texts having none; its docstring states the other cases."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return shard(sizes, "doc_id", "n_bytes", OP2_LIMIT, Scratch(spark, "sharding"))

@@ -238,6 +238,7 @@ def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`near_duplicates` over all documents; its docstring states nulls, copies, long texts, repeated rows and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs, Scratch(spark, "simhash"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

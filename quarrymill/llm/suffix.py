@@ -612,5 +612,7 @@ def without_spans(text: bytes, starts, stops) -> str:
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`repeated_spans` over all documents; its docstring states nulls, long texts, repeated rows and empty tables. Columns
+    besides doc_id and text, whatever their names, are not read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return digests(repeated_spans(docs, Scratch(spark, "suffix")))
