@@ -25,9 +25,16 @@ DEFINITION = ("what is", "define", "definition", "meaning", "뜻", "무엇", "
 PAPER_ID = r"\b(?:arxiv|doi)\b|\b\d{4}\.\d{4,5}(?:v\d+)?\b"
 #: Words that do not count when a query's words are.
 STOP = (
-    "the and for with that this from into were have has are was which their when then there about used using based models model learn learning dataset "
-    "datasets results method methods paper research analysis different new more less one two three also first four five use show shown shows"
-).split()
+    "the", "and", "for", "with", "that", "this", "from", "into", "were", "have", "has", "are", "was", "which", "their", "when", "then", "there",
+    "about", "used", "using", "based", "models", "model", "learn", "learning", "dataset", "datasets", "results", "method", "methods", "paper",
+    "research", "analysis", "different", "new", "more", "less", "one", "two", "three", "also", "first", "four", "five", "use", "show", "shown",
+    "shows",
+)
+STOP_KOREAN = (
+    "하는", "있는", "있다", "있고", "않고", "없이", "또는", "그리고", "에서", "대한", "에 대한", "같은", "및", "또한", "하지만", "뿐", "수",
+    "등", "의", "을", "를", "에", "과", "와", "로", "으로", "으로써", "또", "뿐만", "때문에", "않은", "없는", "이", "그", "그녀", "본",
+    "있습니다", "있을", "있으며", "있는지", "있음",
+)
 #: Temporal cues.
 BEFORE = r"(?i)\b(before|prior to|earlier than)\s+(20\d{2})\b|([0-9]{4})\s*이전|([0-9]{4})\s*당시"
 AFTER = r"(?i)\b(after|since)\s+(20\d{2})\b|([0-9]{4})\s*이후"
@@ -35,10 +42,11 @@ LATEST = r"(?i)\b(latest|recent|updated|update|newest|changed since)\b|최근|
 
 
 def query_words(text: Column) -> Column:
-    """Different words of a query: English ones of three letters or more that are no stop words, Korean ones of two."""
+    """Different words of a query that are no stop words: English ones of three letters or more, Korean ones of two."""
     low = F.lower(text)
-    english = F.filter(F.regexp_extract_all(low, F.lit("[a-zA-Z][a-zA-Z0-9]+"), 0), lambda w: (F.length(w) >= 3) & ~w.isin(STOP))
-    return F.array_distinct(F.concat(english, F.regexp_extract_all(low, F.lit("[가-힣]{2,}"), 0)))
+    english = F.filter(F.regexp_extract_all(low, F.lit("[a-zA-Z][a-zA-Z0-9]+"), 0), lambda w: (F.length(w) >= 3) & ~w.isin(*STOP))
+    korean = F.filter(F.regexp_extract_all(low, F.lit("[가-힣]{2,}"), 0), lambda w: ~w.isin(*STOP_KOREAN))
+    return F.array_distinct(F.concat(english, korean))
 
 
 def intent(query: Column) -> Column:

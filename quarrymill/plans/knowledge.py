@@ -28,7 +28,7 @@ def _any(words) -> str:
 INTENT_SQL = rf"""
 WITH q AS (SELECT conv_id, turn, coalesce(text, '') AS x, lower(trim(coalesce(text, ''), ' ')) AS t FROM conversations WHERE role = 'user'),
 m AS (SELECT *, CASE WHEN regexp_matches(x, '{Q.BEFORE}') THEN 'before' WHEN regexp_matches(x, '{Q.AFTER}') THEN 'after' WHEN regexp_matches(x, '{Q.LATEST}') THEN 'latest' ELSE 'none' END AS temporal,
-  len(list_distinct(list_filter(regexp_extract_all(t, '[a-zA-Z][a-zA-Z0-9]+'), lambda w: length(w) >= 3 AND NOT list_contains({Q.STOP}, w)) || regexp_extract_all(t, '[가-힣]{{2,}}'))) AS n FROM q)
+  len(list_distinct(list_filter(regexp_extract_all(t, '[a-zA-Z][a-zA-Z0-9]+'), lambda w: length(w) >= 3 AND NOT list_contains({list(Q.STOP)}, w)) || list_filter(regexp_extract_all(t, '[가-힣]{{2,}}'), lambda w: NOT list_contains({list(Q.STOP_KOREAN)}, w)))) AS n FROM q)
 SELECT conv_id, turn, CASE WHEN t = '' THEN 'definition' WHEN {_any(Q.COMPARISON)} THEN 'comparison' WHEN regexp_matches(t, '{Q.PAPER_ID}') THEN 'paper_lookup'
   WHEN {_any(Q.PAPER)} AND {_any(Q.PAPER_TOPIC)} THEN 'paper_topic' WHEN {_any(Q.PAPER + Q.CITATION)} THEN 'paper_lookup' WHEN {_any(Q.IMPLEMENTATION)} THEN 'implementation'
   WHEN {_any(Q.EVALUATION)} THEN 'evaluation' WHEN {_any(Q.HOWTO)} THEN 'howto' WHEN {_any(Q.DEFINITION)} THEN 'definition' WHEN n <= 4 THEN 'topic_lookup' ELSE 'definition' END AS intent, temporal,

@@ -120,6 +120,7 @@ def test_query_intent_and_time(spark):
         ("how to install", "howto", "none", ""), ("define entropy", "definition", "none", ""), ("vector index latest", "evaluation", "latest", ""), ("vector index recent", "topic_lookup", "latest", ""),
         ("many words about some rather unusual subject matter", "definition", "none", ""), ("", "definition", "none", ""), (None, "definition", "none", ""), ("2020 이전 모델", "topic_lookup", "before", "2020"),
     )
+    assert one(spark, Q.query_words(F.lit("그리고 Sparse 모델 있는 the 구조 모델 의"))) == ["sparse", "모델", "구조"]
     for text, intent, mode, year in cases:
         t = F.lit(text).cast("string")
         assert (one(spark, Q.intent(t)), *(one(spark, x) for x in Q.temporal(t))) == (intent, mode, year), text
