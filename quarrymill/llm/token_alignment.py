@@ -29,7 +29,7 @@ from .scratch import Scratch
 #: its spaces.
 OPEN_ENDS = ("", "\u180e", "\u200b", "\u2581", "\ufeff")
 LOOSE = rf"\s{''.join(OPEN_ENDS)}"
-CUT, UNEVEN = re.compile(f"(?<=[^{LOOSE}])(?= +[^ ])"), re.compile(rf"(?:\A|[{LOOSE}]) | \Z")
+CUT, UNEVEN = re.compile(f"(?<=[^{LOOSE}])(?= +[^ ])"), re.compile(f"[{LOOSE}] ")
 #: Transitions and bytes of stretches that a Python worker remembers, the stretches in two halves of which the older is
 #: dropped when the newer is full. Longer stretches than LONGEST_REMEMBERED characters are worked out whenever they occur.
 MOST_TRANSITIONS, REMEMBERED_BYTES, LONGEST_REMEMBERED = 1_000_000, 128 << 20, 100
@@ -164,7 +164,9 @@ class DanglingSuffix:
 
 def stretches_of(text: str) -> list[str]:
     """The stretches of a space and a text that is not empty, each without the space that it begins with."""
-    return [s[1:] for s in CUT.split(" " + text)] if UNEVEN.search(text) else text.split(" ")
+    if text[0] == " " or text[-1] == " " or UNEVEN.search(text):
+        return [s[1:] for s in CUT.split(" " + text)]
+    return text.split(" ")
 
 
 class Aligner:
