@@ -76,7 +76,8 @@ KNN_SQL = f"WITH {_KNN.format(where='WHERE q.vec_id % 100 = 0')} SELECT *, great
 
 
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Lexical hits of every document whose id is divisible by 100, fused with the neighbours of the vector of that id."""
+    """Lexical hits of every document whose id is divisible by 100, fused with the neighbours of the vector of that id: the
+    forty best of each kind take part."""
     lex = R.min_max(R.bm25(_docs(spark, d), "doc_id", "text", _queries(spark, d)), "query_id", "score", "lex")
     lex = R.top(lex, ["query_id"], [F.desc("score"), "doc_id"], 40, "lex_rank")
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
@@ -157,7 +158,8 @@ SELECT query_id, doc_id, round(greatest(0.0, least(1.0, normalised + boost)), 6)
 """
 
 
-def related_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of sources by the likeness of their 200 most frequent words of four letters and more; each keeps its three
+    nearest."""
     """Pairs of sources by the likeness of their frequent words; each keeps its three nearest."""
     words = table(spark, d, "documents").select("source", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w")).where(F.length("w") >= 4)
     common = R.top(words.groupBy("source", "w").agg(F.count("*").alias("n")), ["source"], [F.desc("n"), "w"], 200)
