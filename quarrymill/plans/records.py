@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,13 @@ from ..functions import text as T
 from ..operators import evaluation as V
 from ..operators.retrieval import best, top
 from ..sources import tables as S
+from ..sources.shared import keeper
 from ..sources.tables import table
 from .text import URL_SQL
 
+#: Words whose frequency orders a document's words; all others are ordered by a hash.
+MOST_COUNTED = 500_000
+
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its labels, if any."""
@@ -89,18 +95,39 @@ def near_duplicate_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """Documents by likeness of their word sets: pairs at 0.8 or more of representatives, each of a set that n_a or n_b
     documents have, and met through a rare word.
 
-    Words are ordered by how many sets have them. Two sets at 0.8 share a word among the first n - ceil(0.8 n) + 1 of
-    both, so only these are matched, between sets of lengths that allow 0.8; what meets is verified on the sets."""
-    sets = table(spark, d, "documents").select("doc_id", F.array_sort(F.array_distinct(T.tokens(F.col("text")))).alias("s")).where(F.size("s") > 0)
-    sets = sets.groupBy("s").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")).withColumn("n", F.size("s"))
-    words = sets.select("id", "n", F.explode("s").alias("w"))
-    rank = words.groupBy("w").agg(F.count("*").alias("df"))
-    order = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
-    first = words.join(rank.where("df > 1"), "w").withColumn("at", order)  # a word that one set has never meets another
-    alone = words.join(rank.where("df = 1"), "w").groupBy("id").agg(F.count("*").alias("alone"))
-    first = first.join(alone, "id", "left").where(F.col("at") + F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * F.lit("0.8").cast("decimal(2,1)")) + 1)
-    left, right = (first.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), "w") for k in ("a", "b"))
-    met = left.join(right, "w").where("a < b and 5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b").distinct()
+    Words are known by 64-bit hashes and ordered by how many sets have them, as far as they are among the MOST_COUNTED
+    commonest, whose counts are sent to tasks, before these by hash. Two sets at 0.8 share a word among the first
+    n - ceil(0.8 n) + 1 of both, so only these are matched, between sets of lengths that allow 0.8 and where enough words
+    are left behind the match; what meets is verified on the sets."""
+    keep = keeper(spark, "jaccard")
+    words = F.array_sort(F.array_distinct(F.transform(T.tokens(F.col("text")), lambda w: F.xxhash64(w))))
+    sets = table(spark, d, "documents").select("doc_id", words.alias("s")).where(F.size("s") > 0)
+    sets = keep(sets.groupBy("s").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")).where("id is not null"), "sets")
+    often = sets.select(F.explode("s").alias("w")).groupBy("w").agg(F.count("*").alias("df")).where("df > 1").orderBy(F.desc("df"), "w").limit(MOST_COUNTED).toArrow()
+    counted = np.array(often["w"], np.int64)
+    order = np.argsort(counted)
+    sent = spark.sparkContext.broadcast((counted[order], np.array(often["df"], np.int64)[order]))
+
+    def first(batches):
+        known, df = sent.value
+        for batch in batches:
+            s, ids = batch["s"], batch["id"].to_numpy()
+            n = np.diff(s.offsets.to_numpy())
+            w = s.flatten().to_numpy()
+            times = np.zeros(len(w), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, w), len(known) - 1)
+                times = np.where(known[at] == w, df[at], 0)
+            row = np.repeat(np.arange(len(n)), n)
+            w = w[np.lexsort((w, times, row))]
+            place = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n) + 1
+            few = place <= np.repeat(n - -(-4 * n // 5) + 1, n)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row[few]]), pa.array(n[row[few]].astype(np.int32)), pa.array(place[few].astype(np.int32)), pa.array(w[few])], names=["id", "n", "at", "w"])
+
+    found = sets.select(F.col("id").cast("long"), "s").mapInArrow(first, "id long, n int, at int, w long")
+    left, right = (found.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("at").alias(f"at{k}"), "w") for k in ("a", "b"))
+    left_over = "9 * (1 + least(na - ata, nb - atb)) >= 4 * (na + nb)"  # holds at least for the first word that two sets share
+    met = left.join(right.hint("merge"), "w").where(f"a < b and 5 * least(na, nb) >= 4 * greatest(na, nb) and {left_over}").select("a", "b").distinct()
     a, b = (sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}"), F.col("copies").alias(f"n_{k}")) for k in ("a", "b"))
     both = met.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("sa", "sb"))).withColumn("any", F.size("sa") + F.size("sb") - F.col("both"))
     return both.where("5 * both >= 4 * any").select("a", "b", "n_a", "n_b", F.round(F.col("both") / F.col("any"), 6).alias("likeness"))
