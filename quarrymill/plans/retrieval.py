@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clamp, freshness, importance, jaccard, tokens
 from ..operators import retrieval as R
+from ..sources.shared import keeper
 from ..sources.tables import table
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -15,11 +16,16 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
     """Every document whose id is divisible by 100 asks for its three rarest words that another document has too."""
-    return R.rare_words(_docs(spark, d), "doc_id", "text", F.col("doc_id") % 100 == 0)
+    keep = keeper(spark, "queries")
+    return keep(R.rare_words(_docs(spark, d), "doc_id", "text", F.col("doc_id") % 100 == 0, keep=keep), "terms")
+
+
+def _bm25(spark: SparkSession, d: str) -> DataFrame:
+    return R.bm25(_docs(spark, d), "doc_id", "text", _queries(spark, d), keeper(spark, "bm25"))
 
 
 def lexical_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = R.min_max(R.bm25(_docs(spark, d), "doc_id", "text", _queries(spark, d)), "query_id", "score", "normalised")
+    hits = R.min_max(_bm25(spark, d), "query_id", "score", "normalised")
     return R.top(hits, ["query_id"], [F.desc("score"), "doc_id"], 20)
 
 
@@ -78,7 +84,7 @@ KNN_SQL = f"WITH {_KNN.format(where='WHERE q.vec_id % 100 = 0')} SELECT *, great
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Lexical hits of every document whose id is divisible by 100, fused with the neighbours of the vector of that id: the
     forty best of each kind take part."""
-    lex = R.min_max(R.bm25(_docs(spark, d), "doc_id", "text", _queries(spark, d)), "query_id", "score", "lex")
+    lex = R.min_max(_bm25(spark, d), "query_id", "score", "lex")
     lex = R.top(lex, ["query_id"], [F.desc("score"), "doc_id"], 40, "lex_rank")
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -99,7 +105,7 @@ SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lex
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     """All hits of every query, with their sources; what is kept of them is decided by the queries below."""
-    hits = R.min_max(R.bm25(_docs(spark, d), "doc_id", "text", _queries(spark, d)), "query_id", "score", "normalised")
+    hits = R.min_max(_bm25(spark, d), "query_id", "score", "normalised")
     return hits.join(_docs(spark, d).select("doc_id", "source", "lang"), "doc_id")
 
 
