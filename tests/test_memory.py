@@ -106,3 +106,12 @@ def test_passages_stay_within_their_parent_section(found):
 def test_empty_tables(spark):
     queries, documents, units = spark.createDataFrame([], "query_id long, query string"), spark.createDataFrame([], FIELDS), spark.createDataFrame([], UNITS)
     assert M.search(queries, documents, units).collect() == []
+
+
+def test_only_found_documents_are_cut_into_chunks(spark, monkeypatch):
+    from quarrymill.plans import memory as plans
+
+    cut, whole = [], plans.chunking.chunks
+    monkeypatch.setattr(plans.chunking, "chunks", lambda docs, *rest: cut.append(docs) or whole(docs, *rest))
+    found = plans.memory_search(spark, "/root/testdata/sf0.001")
+    assert [sorted(r[0] for r in d.select("doc_id").collect()) for d in cut] == [sorted({r[0] for r in found.select("document_id").collect()})]
