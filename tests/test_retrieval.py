@@ -1,5 +1,6 @@
 """The words that queries are made of, and how often searches read the texts."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,3 +27,28 @@ def test_hits_are_not_searched_for_again_by_each_reader(spark, query, scans):
     plan = plans.QUERIES[query][0](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     # of documents only sources and features are still to be read, not the texts
     assert plan.count("documents.parquet") == scans and "text" not in plan
+
+
+@pytest.mark.parametrize("query", ["parent_diversify", "duplicate_parent_penalty", "source_budget_topk", "feature_boost_rank"])
+def test_queries_meet_postings_once(spark, query):
+    plan = plans.QUERIES[query][0](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # the hits are read back: no reader of the result counts a query's words in the postings again
+    assert "n_terms" not in plan and "tf#" not in plan
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_hits_of_odd_rows_match_sql(spark, tmp_path, monkeypatch, few):
+    """Null, empty and wordless texts, null and repeated ids, repeated rows, words with letters beyond ASCII between."""
+    if not few:
+        monkeypatch.setattr(R, "MOST_SENT", 1)
+        monkeypatch.setattr(R, "MOST_ASKED", 1)
+    rows = [
+        (0, "Ann bee bee cat"), (100, "bee-dog\u00e9bee \u00c9t\u00c9 42"), (200, None), (300, ""), (400, "cat cat"), (500, "nowhere else"), (1, "ann, BEE; cat\tdog"), (2, None), (3, "\u4e2d\u6587 ..."),
+        (4, "t bee dog 42 ann cat"), (None, "dog bee t ann cat"), (None, "cat"), (7, "ann bee"), (7, "cat ann bee"), (7, "cat"), (8, "t 42 dog"), (8, "t 42 dog"), (600, "ann dog"), (600, "ann dog"),
+    ]
+    docs = spark.createDataFrame([(*r, "s", "en", 0) for r in rows], "doc_id long, text string, source string, lang string, n_chars long").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r["query_id"], r["doc_id"], r["score"]) for r in plans._bm25(spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got and got == sorted(con.sql(f"WITH {plans._BM25} SELECT query_id, doc_id, score FROM h").fetchall(), key=str)
