@@ -1,9 +1,11 @@
 """The words that queries are made of, and how often searches read the texts."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quarrymill.functions.text import tokens
 from quarrymill.operators import retrieval as R
 from quarrymill.plans import retrieval as plans
 
@@ -36,6 +38,21 @@ def test_queries_meet_postings_once(spark, query):
     assert "n_terms" not in plan and "tf#" not in plan
 
 
+@pytest.mark.parametrize("piece", [4 << 20, 8])
+def test_all_texts_of_a_batch_are_cut_as_tokens_cuts_each(spark, monkeypatch, piece):
+    """Capitals, letters that become ASCII in lower case (a dotted I, the sign of Kelvin), null, empty and wordless texts."""
+    monkeypatch.setattr(R, "PIECE", piece)
+    texts = ["Ann BEE-bee 42", None, "", "x", "\u0130stanbul 5\u212aelvin", "...", "a\u00c9\u00c9b", "end ", " of", "Z" * 50, "\u4e2d\u6587", "last"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    raw = {r["id"]: r["_text"] for r in R._bytes(docs, "text", "id").collect()}
+    words, counts = R._cut(pa.array([None if raw[i] is None else bytes(raw[i]) for i in range(len(texts))], pa.binary()))
+    flat, at = [w.decode() for w in words.to_pylist()], 0
+    for row in docs.select("id", tokens(F.col("text")).alias("w")).orderBy("id").collect():
+        assert flat[at : at + counts[row["id"]]] == (row["w"] or [])
+        at += counts[row["id"]]
+    assert at == len(flat)
+
+
 @pytest.mark.parametrize("few", [True, False])
 def test_hits_of_odd_rows_match_sql(spark, tmp_path, monkeypatch, few):
     """Null, empty and wordless texts, null and repeated ids, repeated rows, words with letters beyond ASCII between."""
