@@ -134,7 +134,8 @@ SELECT query_id, doc_id, CAST(r AS INT) AS dup_rank, round(normalised - least(0.
 
 def source_budget_topk(spark: SparkSession, d: str) -> DataFrame:
     """At most two hits of a source, then the ten best."""
-    within = R.top(_hits(spark, d), ["query_id", "source"], [F.desc("score"), "doc_id"], 2, "in_source")
+    hits = _bm25(spark, d).join(_docs(spark, d).select("doc_id", "source"), "doc_id")
+    within = R.top(hits, ["query_id", "source"], [F.desc("score"), "doc_id"], 2, "in_source")
     return R.top(within, ["query_id"], [F.desc("score"), "doc_id"], 10).select("query_id", "doc_id", "source", "rank")
 
 

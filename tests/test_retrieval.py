@@ -53,6 +53,11 @@ def test_all_texts_of_a_batch_are_cut_as_tokens_cuts_each(spark, monkeypatch, pi
     assert at == len(flat)
 
 
+def test_budgets_of_sources_need_no_range_of_scores(spark):
+    plan = plans.source_budget_topk(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_hi" not in plan and "normalised" not in plan
+
+
 @pytest.mark.parametrize("few", [True, False])
 def test_hits_of_odd_rows_match_sql(spark, tmp_path, monkeypatch, few):
     """Null, empty and wordless texts, null and repeated ids, repeated rows, words with letters beyond ASCII between."""
