@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as V
+from ..operators.jaccard import verified
 from ..operators.retrieval import best, top
 from ..sources import tables as S
 from ..sources.shared import keeper
@@ -98,11 +99,11 @@ def near_duplicate_jaccard(spark: SparkSession, d: str) -> DataFrame:
     Words are known by 64-bit hashes and ordered by how many sets have them, as far as they are among the MOST_COUNTED
     commonest, whose counts are sent to tasks, before these by hash. Two sets at 0.8 share a word among the first
     n - ceil(0.8 n) + 1 of both, so only these are matched, between sets of lengths that allow 0.8 and where enough words
-    are left behind the match; what meets is verified on the sets."""
+    are left behind the match; what meets is verified on the sets, first by signatures."""
     keep = keeper(spark, "jaccard")
     words = F.array_sort(F.array_distinct(F.transform(T.tokens(F.col("text")), lambda w: F.xxhash64(w))))
     sets = table(spark, d, "documents").select("doc_id", words.alias("s")).where(F.size("s") > 0)
-    sets = keep(sets.groupBy("s").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")).where("id is not null"), "sets")
+    sets = keep(sets.groupBy("s").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")).where("id is not null").withColumn("set", F.monotonically_increasing_id()), "sets")
     often = sets.select(F.explode("s").alias("w")).groupBy("w").agg(F.count("*").alias("df")).where("df > 1").orderBy(F.desc("df"), "w").limit(MOST_COUNTED).toArrow()
     counted = np.array(often["w"], np.int64)
     order = np.argsort(counted)
@@ -111,7 +112,7 @@ def near_duplicate_jaccard(spark: SparkSession, d: str) -> DataFrame:
     def first(batches):
         known, df = sent.value
         for batch in batches:
-            s, ids = batch["s"], batch["id"].to_numpy()
+            s, ids = batch["s"], batch["set"].to_numpy()
             n = np.diff(s.offsets.to_numpy())
             w = s.flatten().to_numpy()
             times = np.zeros(len(w), np.int64)
@@ -124,13 +125,11 @@ def near_duplicate_jaccard(spark: SparkSession, d: str) -> DataFrame:
             few = place <= np.repeat(n - -(-4 * n // 5) + 1, n)
             yield pa.RecordBatch.from_arrays([pa.array(ids[row[few]]), pa.array(n[row[few]].astype(np.int32)), pa.array(place[few].astype(np.int32)), pa.array(w[few])], names=["id", "n", "at", "w"])
 
-    found = sets.select(F.col("id").cast("long"), "s").mapInArrow(first, "id long, n int, at int, w long")
+    found = sets.select("set", "s").mapInArrow(first, "id long, n int, at int, w long")
     left, right = (found.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("at").alias(f"at{k}"), "w") for k in ("a", "b"))
     left_over = "9 * (1 + least(na - ata, nb - atb)) >= 4 * (na + nb)"  # holds at least for the first word that two sets share
     met = left.join(right.hint("merge"), "w").where(f"a < b and 5 * least(na, nb) >= 4 * greatest(na, nb) and {left_over}").select("a", "b").distinct()
-    a, b = (sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}"), F.col("copies").alias(f"n_{k}")) for k in ("a", "b"))
-    both = met.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("sa", "sb"))).withColumn("any", F.size("sa") + F.size("sb") - F.col("both"))
-    return both.where("5 * both >= 4 * any").select("a", "b", "n_a", "n_b", F.round(F.col("both") / F.col("any"), 6).alias("likeness"))
+    return verified(met, sets, keep).select("a", "b", "n_a", "n_b", F.round(F.col("both") / F.col("any"), 6).alias("likeness"))
 
 
 JACCARD_SQL = """
